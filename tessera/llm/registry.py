@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontam import op2_benchmark_decontamination
+from tessera.llm.langid import op9_language_id
+from tessera.llm.mixing import op6_source_mixing
+from tessera.llm.sharding import op3_sharding
 from tessera.llm.simhash import op8_simhash_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_simhash_near_dedup,)}
+    ops = (op2_benchmark_decontamination, op3_sharding, op6_source_mixing, op8_simhash_near_dedup, op9_language_id)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
