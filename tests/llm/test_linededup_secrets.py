@@ -1,0 +1,84 @@
+import re
+
+import duckdb
+import numpy as np
+
+from tessera.llm import linededup as D
+from tessera.llm import secrets as S
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(docs):
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        kept, at = [], 0
+        for line in text.split("\n"):
+            n = " ".join(line.lower().split())
+            if len(n.split(" ")) < D.MIN_WORDS or n not in seen:
+                kept.append((at, at + len(line)))
+            if len(n.split(" ")) >= D.MIN_WORDS:
+                seen.add(n)
+            at += len(line) + 1
+        out[i] = "\n".join(text[a:b] for a, b in kept)
+    return out
+
+
+def test_lines_against_brute_force_and_sql(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in D.dedup_lines(docs).collect()}
+    assert {i: r.text for i, r in got.items()} == brute(texts.items())
+    for i, r in got.items():
+        assert "\n".join(texts[i][s.start : s.stop] for s in r.spans) == r.text
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = sorted(con.execute(D.OP10_SQL).fetchall())
+    assert sorted(map(tuple, D.op10_substring_dedup(spark, SF).collect())) == want
+
+
+def test_lines_edge_cases(spark):
+    line = "one line of more than five words"
+    long = "\n".join(f"line {i % 900} of a very long text" for i in range(30_000))
+    rows = [(2, f"{line}\nshort\n{line.upper()}  ", 0), (1, f"a\n {line}\nb", 0), (3, None, 0), (4, "", 0), (5, line, 0), (5, line, 0), (None, line, 0), (6, long, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pos int").withColumnRenamed("pos", "gone")
+    got = {r.doc_id: (r.text, [tuple(s) for s in r.spans]) for r in D.dedup_lines(df).collect()}
+    assert got[1][0] == rows[1][1] and got[2] == ("short", [(len(line) + 1, len(line) + 6)])
+    assert got[3] == (None, []) and got[4] == ("", [(0, 0)]) and got[5] == ("", []) and got[None][0] == line
+    assert got[6][0].count("\n") == 899 and len(got) == 7
+    assert D.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_forest_on_held_out_findings():
+    held = S.labelled_findings(1500, seed=99)
+    score = S.default_forest().score(np.array([S.features(f) for f in held]))
+    y = np.array([f.label for f in held])
+    assert ((score >= S.THRESHOLD) == y).mean() >= 0.95
+    kept = score >= S.THRESHOLD
+    assert y[kept].mean() >= 0.95 and kept[y == 1].mean() >= 0.95
+
+
+def test_secrets_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    got = {(r.doc_id, r.start, r.stop) for r in S.scan_secrets(docs, S.default_forest(), path_col="source").collect()}
+    assert len(got & want) >= 0.97 * len(want) > 10
+    assert len(got - want) <= 0.05 * len(got)
+
+
+def test_candidates_against_a_regex():
+    texts = ["x = abcdefghij1234567890 y", "", "no", 'password: "hunterhunter" and longwordwithoutdigits', "k=v9" * 9, "Äé abcdefgh12345678.", "a/b/c1234567890123456"]
+    got = {(d, texts[d][s:e]) for d, s, e in S.candidates(texts)}
+    assert (0, "abcdefghij1234567890") in got and (3, "hunterhunter") in got and (5, "abcdefgh12345678") in got
+    assert not any(t == "longwordwithoutdigits" for _, t in got)
+
+
+def test_secret_edge_cases(spark):
+    key = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a"
+    hit = f'token = "{key}"'
+    rows = [(1, None, None), (2, "", "x"), (None, hit, None), (3, "word " * 60_000 + hit, "x"), (4, hit, "x"), (4, hit, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = sorted((r.doc_id or 0, r.stop - r.start) for r in S.scan_secrets(df, S.default_forest(), path_col="score").collect())
+    assert got == [(0, 40), (3, 40), (4, 40), (4, 40)]
+    assert S.scan_secrets(df.limit(0), S.default_forest()).count() == 0
