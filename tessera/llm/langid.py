@@ -40,7 +40,8 @@ BITS = 16
 SMOOTH = 0.5
 FOREIGN = -30.0
 UND = "und"
-WORDS_AT_ONCE = 1_000_000
+#: States times words that are decoded at a time, about.
+CELLS_AT_ONCE = 2_500_000
 
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)], "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
@@ -126,10 +127,15 @@ class Model:
         return Model(states, len(langs), logp.T.astype(np.float32), expected + 0.45 * (floor - expected), allowed, bonus)
 
     def scores(self, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
-        """(which tokens are words, words x states)."""
+        """(which tokens are words, words x states).
+
+        Where no word is in a script that only ``bonus`` languages use, their states are
+        left out: the columns are the trained languages and und."""
         words = np.flatnonzero(scan.kind == LETTER)
         s, e = scan.s[words], scan.e[words]
-        out = np.zeros((len(words), len(self.langs)), np.float32)
+        script = SCRIPT[scan.cp[s]] if len(words) else np.zeros(0, np.uint8)
+        wide = bool(self.bonus) and bool(np.isin(script, list(self.bonus)).any())
+        out = np.zeros((len(words), len(self.langs) if wide else self.trained + 1), np.float32)
         if not len(words):
             return words, out
         n = (e - s).astype(np.float32)
@@ -138,9 +144,8 @@ class Model:
         rows[scan.classes != LETTER] = 0
         edges = np.stack([s, e], 1).ravel()  # sums from each start to its end; the gaps in between are left out
         out[:, : self.trained] = np.add.reduceat(np.concatenate([rows, rows[:1] * 0]), edges, axis=0)[::2]
-        script = SCRIPT[scan.cp[s]]
         flat = np.float32(self.flat)
-        for i, v in self.bonus.items():
+        for i, v in self.bonus.items() if wide else ():
             of = np.flatnonzero(script == i)
             if len(of):
                 for k, plus, letters in v:
@@ -151,7 +156,8 @@ class Model:
                         got = (6 * (sums[e[of]] - sums[s[of]])).astype(np.float32)
                     out[of, k] = n[of] * (flat + np.float32(1.5 + plus)) + got
         out[:, -1] = n * flat
-        return words, np.where(self.allowed[script], out, n[:, None] * np.float32(FOREIGN))
+        allowed = self.allowed if wide else self.allowed[:, [*range(self.trained), -1]]
+        return words, np.where(allowed[script], out, n[:, None] * np.float32(FOREIGN))
 
 
 SCRIPT = script_table()
@@ -203,11 +209,12 @@ def identify(model: Model, texts: list[str]) -> Found:
     k = len(model.langs)
     letters = np.zeros((len(texts), k))
     spans: list[tuple[np.ndarray, ...]] = []
-    held: list[tuple[np.ndarray, ...]] = []
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    cells: dict[int, int] = {}
 
-    def decode() -> None:
-        doc, s, e, sc = (np.concatenate([h[j] for h in held]) for j in range(4))
-        held.clear()
+    def decode(width: int) -> None:
+        doc, s, e, sc = (np.concatenate([h[j] for h in held[width]]) for j in range(4))
+        held[width], cells[width] = [], 0
         if not len(doc):
             return
         cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -215,25 +222,25 @@ def identify(model: Model, texts: list[str]) -> Found:
         by = np.argsort(-sizes, kind="stable")
         rows = np.repeat(cuts[by] - np.concatenate([[0], np.cumsum(sizes[by])[:-1]]), sizes[by]) + np.arange(len(doc))
         label = np.empty(len(doc), np.int8)
-        label[rows] = viterbi(sc[rows], sizes[by])
+        best = viterbi(sc[rows], sizes[by])
+        label[rows] = best if width == k else np.where(best == width - 1, np.int8(k - 1), best)
         np.add.at(letters, (doc, label), e - s)
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(doc)]]) - 1
         spans.append((doc[first], s[first], e[last], label[first]))
 
-    words = 0
     for at, part in chunks([texts[i] for i in order]):
         scan = Scan(part)
         own, sc = model.scores(scan)
         doc = np.array(order[at : at + len(part)], np.int64)[scan.doc[own]]
-        held.append((doc, scan.start[own], scan.end[own], sc))
-        words += len(own)
-        if words >= WORDS_AT_ONCE:
-            decode()
-            words = 0
-    if held:
-        decode()
+        width = sc.shape[1]
+        held.setdefault(width, []).append((doc, scan.start[own].astype(np.int32), scan.end[own].astype(np.int32), sc))
+        cells[width] = cells.get(width, 0) + sc.size
+        if cells[width] >= CELLS_AT_ONCE:
+            decode(width)
+    for width in [w for w, n in cells.items() if n]:
+        decode(width)
     if spans:
         doc, s, e, label = (np.concatenate([x[j] for x in spans]) for j in range(4))
         by = np.lexsort((s, doc))
