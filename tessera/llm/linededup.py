@@ -1,13 +1,21 @@
-"""Operator 10: substring dedup by hashing lines.
+"""Operator 10: substring dedup by hashing lines and the passages inside them.
 
-The units are the lines of a text. A unit is normalised (lower case, runs of white space as
-one space, trimmed) and hashed to 128 bits. Of all units with the same digest, over all
-documents, the earliest by (doc_id, line number) stays; the others are removed, wherever
-they are. Units of fewer than ``MIN_WORDS`` words always stay. The remaining lines are
-joined again, with the offsets, in code points, that they had in the original text.
+A text is cut in lines, and a line in units: a unit ends at a sentence end or before a
+capitalised word, so that a passage set into other text begins and ends with a unit. What
+is hashed are windows of whole units of one line: from each unit on, and back from each
+unit, the fewest units that have ``MIN_WORDS`` words together; and a line of fewer words,
+but of ``MIN_LINE`` at least, as a whole. Normalised, a window is the sequence of its
+lower-cased words and numbers; its digest has 96 bits. A run of more than 12 letters
+counts as a word for each 12, for scripts without spaces.
 
-Counting is a two-step aggregation, so a line that a large part of the corpus shares does
-not gather in one task; only repeated digests meet the lines again.
+Of all windows with one digest, over all documents, the earliest by (doc_id, offset)
+stays; the text of the others is removed. A unit is only removed if it stands in a window
+that occurs earlier, so the first occurrence of any unit always stays. What remains keeps
+the offsets, in code points, that it had in the original text; a line that goes as a whole
+takes its line break with it.
+
+The windows are shuffled once, by digest; the earliest of each digest is an aggregate over
+that partitioning, which meets the windows again without another shuffle.
 
 Defined results: one row for each id (of repeated rows the first by content); rows with a
 null id keep their text and take no part; a null text stays null with no spans; a text of
@@ -18,88 +26,135 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _base as B
+from tessera.llm._text import U, Scan, chunks, mix
+
+MIN_WORDS, MIN_LINE = 8, 5
+WORD_LETTERS = 12
+R1, R2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def running_hash(code: np.ndarray, a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
+    """Hash of code[a:b] for many ranges: a polynomial in r, by sums from the start."""
+    n = len(code)
+    up = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, r, U)]))
+    down = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, pow(r, -1, 2**64), U)]))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(code * up[:n])])
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U) * U(0xA0761D6478BD642F))
+
+
+def windows(texts: list[str], min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> tuple[np.ndarray, ...]:
+    """(index of the text, start, stop, h, g) of every window of the texts."""
+    scan = Scan(texts)
+    n = len(scan.s)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(np.int32)
+    breaks = np.flatnonzero(scan.cp == 10)
+    line = np.searchsorted(breaks, scan.s)
+    opens = np.concatenate([[True], line[1:] != line[:-1]])
+    first = np.flatnonzero(opens | scan.after_stop() | scan.capitalised())  # first token of each unit
+    last = np.concatenate([first[1:], [n]])  # and the one after its last
+    own = line[first]
+    words = np.concatenate([[0], np.cumsum(-(-(scan.e - scan.s) // WORD_LETTERS))])
+    at, upto = words[first], words[last]
+    k = np.arange(len(first))
+    to = np.searchsorted(upto, at + min_words, "left")  # windows from k to to[k]
+    ok = to < len(first)
+    ok[ok] = own[to[ok]] == own[ok]
+    frm = np.searchsorted(at, upto - min_words, "right") - 1  # windows from frm[k] to k
+    back = frm >= 0
+    back[back] = own[frm[back]] == own[back]
+    line_first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    line_last = np.concatenate([line_first[1:], [len(first)]]) - 1
+    total = upto[line_last] - at[line_first]
+    short = (total >= min_line) & (total < min_words)
+    pairs = np.concatenate([k[ok] * len(first) + to[ok], frm[back] * len(first) + k[back], line_first[short] * len(first) + line_last[short]])
+    pairs = np.unique(pairs)
+    i, j = pairs // len(first), pairs % len(first)
+    a, b = first[i], last[j]
+    code = scan.codes()
+    h = running_hash(code, a, b, R1).view(np.int64)
+    g = (running_hash(code, a, b, R2) >> U(32)).astype(np.uint32).view(np.int32)
+    starts = np.where(opens[a], np.concatenate([[0], breaks + 1])[line[a]], scan.s[a])
+    after = np.minimum(b, n - 1)
+    ends = np.where((b < n) & (line[after] == line[a]), scan.s[after], breaks[line[a]])
+    doc = scan.doc[a]
+    return doc, starts - scan.base[doc], ends - scan.base[doc], h, g
+
+
+def rebuild(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the ranges, which may overlap, and the spans that stay."""
+    spans, at = [], 0
+    merged: list[list[int]] = []
+    for s, e in sorted(cuts):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            if merged and text[merged[-1][1] : s] == "\n" and (merged[-1][0] == 0 or text[merged[-1][0] - 1] == "\n"):
+                merged[-1][1] = e  # a whole line and more after it
+                continue
+            merged.append([s, e])
+    for s, e in merged:
+        if (s == 0 or text[s - 1] == "\n") and text[e : e + 1] == "\n":
+            e += 1
+        elif e == len(text) and s > at and text[s - 1] == "\n":
+            s -= 1
+        if s > at:
+            spans.append((at, s))
+        at = e
+    if at < len(text):
+        spans.append((at, len(text)))
+    return "".join(text[s:e] for s, e in spans), spans
+
+
+def all_windows(docs: DataFrame, min_words: int, min_line: int) -> DataFrame:
+    """(id, s, e, h, g) of every window of docs (id, text)."""
+    src = docs.where("id is not null and text is not null").select("id", "text")
 
-MIN_WORDS = 5
-
-
-def rebuild(text: str, removed: list[int] | None) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the lines removed, and the spans of the runs that stay."""
-    if not removed:
-        return text, [(0, len(text))]
-    gone, at, spans, kept = set(removed), 0, [], []
-    for i, line in enumerate(text.split("\n")):
-        if i not in gone:
-            kept.append(line)
-            if spans and spans[-1][1] == at - 1:
-                spans[-1] = (spans[-1][0], at + len(line))
-            else:
-                spans.append((at, at + len(line)))
-        at += len(line) + 1
-    return "\n".join(kept), spans
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, part in chunks(b.column(1).to_pylist()):
+                doc, s, e, h, g = windows(part, min_words, min_line)
+                ids = b.column(0).slice(at, len(part)).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(h), pa.array(g)], names=["id", "s", "e", "h", "g"])
 
-def line_digests(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, pos, h, g) of every unit of docs (id, text) that counts; the text is split once."""
-    norm = F.trim(F.regexp_replace(F.lower("line"), r"\s+", " "))
-    lines = docs.where("id is not null").select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", norm.alias("n"))
-    long = lines.where(F.length("n") - F.length(F.replace("n", F.lit(" "))) >= min_words - 1)
-    return long.select("id", "pos", F.xxhash64("n").alias("h"), F.xxhash64(F.lit(10), "n").alias("g"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, s int, e int, h bigint, g int")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, pos) of every line of docs (id, text) that is not the earliest of its kind."""
-    units = line_digests(docs, min_words)
-    first = units.groupBy("h", "g").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = B.sized(B.cut(first.select("h", "g", "first")), 64)
-    return units.join(first, ["h", "g"]).where(F.struct("id", "pos") != F.col("first")).select("id", "pos")
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> DataFrame:
+    """(id, s, e) of every window of docs (id, text) that is not the earliest of its digest."""
+    every = all_windows(docs, min_words, min_line).repartition("h", "g")
+    first = every.groupBy("h", "g").agg(F.min(F.struct("id", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
+    return every.join(first, ["h", "g"]).where(F.struct("id", "s") != F.col("first")).select("id", "s", "e")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text, spans): every document without its repeated lines."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> DataFrame:
+    """(doc_id, text, spans): every document without what occurs earlier."""
     src = B.one_row_per_id(B.narrow(docs, id=id_col, text=text_col), "id")
-    gone = repeated_lines(src, min_words).groupBy("id").agg(F.collect_list("pos").alias("gone")).withColumnRenamed("id", "of")
-    both = src.join(gone, src["id"] == gone["of"], "left").select("id", "text", "gone")
+    gone = repeated(src, min_words, min_line).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("gone")).withColumnRenamed("id", "of")
+    both = src.join(gone, src["id"] == gone["of"], "left").select("id", "text", F.col("gone.s").alias("starts"), F.col("gone.e").alias("ends"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, spans = [], []
-            for text, removed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t, s = rebuild(text, removed) if text is not None else (None, [])
+            for text, s, e in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                t, kept = (text, []) if not text else (text, [(0, len(text))]) if not s else rebuild(text, list(zip(s, e)))
                 texts.append(t)
-                spans.append([{"start": x, "stop": y} for x, y in s])
+                spans.append([{"start": x, "stop": y} for x, y in kept])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(spans, span)], names=["doc_id", "text", "spans"])
 
     return both.mapInArrow(run, f"doc_id {src.schema['id'].dataType.simpleString()}, text string, spans array<struct<start:int,stop:int>>")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole documents table without repeated lines; kept: spans as 'start-stop,..'."""
+    """The whole documents table without repeated passages; kept: spans as 'start-stop,..'."""
     done = dedup_lines(B.table(spark, sf_dir, "documents"))
     kept = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
     return done.select("doc_id", "text", kept.alias("kept"))
-
-
-OP10_SQL = f"""
-with l as (
-  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
-), o as (
-  select *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) as n,
-    coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as s
-  from l
-), k as (
-  select *, case when len(string_split(n, ' ')) >= {MIN_WORDS} and row_number() over (partition by n order by doc_id, pos) > 1 then 1 else 0 end as gone from o
-), r as (
-  select *, sum(gone) over (partition by doc_id order by pos) as run from k
-), i as (
-  select doc_id, run, min(s) as a, max(s + length(line)) as b, string_agg(line, chr(10) order by pos) as part from r where gone = 0 group by doc_id, run
-), t as (
-  select doc_id, string_agg(part, chr(10) order by a) as text, string_agg(a || '-' || b, ',' order by a) as kept from i group by doc_id
-)
-select d.doc_id, coalesce(t.text, '') as text, coalesce(t.kept, '') as kept from documents d left join t on d.doc_id = t.doc_id
-"""

@@ -11,7 +11,7 @@ from tessera.llm.chatfmt import OP4_SQL, op4_chat_formatting
 from tessera.llm.decontam import op2_benchmark_decontamination
 from tessera.llm.htmlblocks import op7_html_extraction
 from tessera.llm.langid import op9_language_id
-from tessera.llm.linededup import OP10_SQL, op10_substring_dedup
+from tessera.llm.linededup import op10_substring_dedup
 from tessera.llm.mixing import op6_source_mixing
 from tessera.llm.secrets import op1_secret_scan
 from tessera.llm.sharding import op3_sharding
@@ -29,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op5_nearest_neighbours": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op5_nearest_neighbours": OP5_SQL}

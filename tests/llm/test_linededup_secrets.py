@@ -1,6 +1,5 @@
 import re
 
-import duckdb
 import numpy as np
 
 from tessera.llm import linededup as D
@@ -9,32 +8,78 @@ from tessera.llm import secrets as S
 SF = "/root/testdata/sf0.001"
 
 
+def units_of(line):
+    """(start, stop, words) of the units of a line, read character by character."""
+    toks = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]+|\d+", line)]
+    starts = [k for k, (s, e, w) in enumerate(toks) if k == 0 or re.search(r"[.!?:;…\r]", line[toks[k - 1][1] : s]) or line[s].isupper() and not line[s + 1 : s + 2].isupper() or line[s].isupper() and e - s == 1]
+    out = []
+    for k, a in enumerate(starts):
+        b = starts[k + 1] if k + 1 < len(starts) else len(toks)
+        out.append((0 if a == 0 else toks[a][0], toks[b][0] if b < len(toks) else len(line), [t[2] for t in toks[a:b]]))
+    return out
+
+
+def windows_of(text):
+    """Every window as (start, stop, words)."""
+    at, out = 0, set()
+    size = lambda us: sum(-(-len(w) // D.WORD_LETTERS) for u in us for w in u[2])
+    for line in text.split("\n"):
+        us = units_of(line)
+        for k in range(len(us)):
+            m = next((m for m in range(k, len(us)) if size(us[k : m + 1]) >= D.MIN_WORDS), None)
+            f = next((f for f in range(k, -1, -1) if size(us[f : k + 1]) >= D.MIN_WORDS), None)
+            for i, j in ((k, m), (f, k)):
+                if i is not None and j is not None:
+                    out.add((at + us[i][0], at + us[j][1], tuple(w for u in us[i : j + 1] for w in u[2])))
+        if us and D.MIN_LINE <= size(us) < D.MIN_WORDS:
+            out.add((at + us[0][0], at + us[-1][1], tuple(w for u in us for w in u[2])))
+        at += len(line) + 1
+    return sorted(out)
+
+
 def brute(docs):
-    seen, out = set(), {}
-    for i, text in sorted(docs):
-        kept, at = [], 0
-        for line in text.split("\n"):
-            n = " ".join(line.lower().split())
-            if len(n.split(" ")) < D.MIN_WORDS or n not in seen:
-                kept.append((at, at + len(line)))
-            if len(n.split(" ")) >= D.MIN_WORDS:
-                seen.add(n)
-            at += len(line) + 1
-        out[i] = "\n".join(text[a:b] for a, b in kept)
+    """The characters of each text that stay, by comparing windows word for word."""
+    first, found = {}, {i: windows_of(t) for i, t in docs.items()}
+    for i in sorted(docs):
+        for s, _, w in found[i]:
+            first.setdefault(w, (i, s))
+    out = {}
+    for i, t in docs.items():
+        keep = [True] * len(t)
+        for s, e, w in found[i]:
+            if first[w] != (i, s):
+                keep[s:e] = [False] * (e - s)
+        out[i] = keep
     return out
 
 
-def test_lines_against_brute_force_and_sql(spark):
+def test_passages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    got = {r.doc_id: r for r in D.dedup_lines(docs).collect()}
-    assert {i: r.text for i, r in got.items()} == brute(texts.items())
+    got, want = {r.doc_id: r for r in D.dedup_lines(docs).collect()}, brute(texts)
+    assert got.keys() == texts.keys()
     for i, r in got.items():
-        assert "\n".join(texts[i][s.start : s.stop] for s in r.spans) == r.text
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
-    want = sorted(con.execute(D.OP10_SQL).fetchall())
-    assert sorted(map(tuple, D.op10_substring_dedup(spark, SF).collect())) == want
+        t = texts[i]
+        assert "".join(t[s.start : s.stop] for s in r.spans) == r.text
+        kept = {p for s in r.spans for p in range(s.start, s.stop)}
+        assert [p for p in range(len(t)) if t[p] != "\n" and (p in kept) != want[i][p]] == [], i
+    assert sum(len(r.text) for r in got.values()) < 0.97 * sum(map(len, texts.values()))
+
+
+def test_passage_set_into_lines(spark):
+    passage = "Some passage of many words that is set into texts. It goes on for a while here. And then it ends now."
+    rows = [(1, f"alpha beta {passage} gamma delta"), (2, f"other words {passage} and more of them"), (3, "Clean text that nobody else has written down. " * 1), (4, f"{passage}")]
+    got = {r.doc_id: r.text for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "other words and more of them", 3: rows[2][1], 4: ""}
+
+
+def test_no_two_windows_share_a_digest(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    doc, s, e, h, g = D.windows(texts)
+    words = lambda d, a, b: tuple(w for w in re.findall(r"[^\W\d_]+|\d+", texts[d][a:b].lower()))
+    seen = {}
+    for d, a, b, x, y in zip(doc, s, e, h, g):
+        assert seen.setdefault((x, y), words(d, a, b)) == words(d, a, b)
 
 
 def test_lines_edge_cases(spark):
@@ -44,7 +89,7 @@ def test_lines_edge_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, pos int").withColumnRenamed("pos", "gone")
     got = {r.doc_id: (r.text, [tuple(s) for s in r.spans]) for r in D.dedup_lines(df).collect()}
     assert got[1][0] == rows[1][1] and got[2] == ("short", [(len(line) + 1, len(line) + 6)])
-    assert got[3] == (None, []) and got[4] == ("", [(0, 0)]) and got[5] == ("", []) and got[None][0] == line
+    assert got[3] == (None, []) and got[4] == ("", []) and got[5] == ("", []) and got[None][0] == line
     assert got[6][0].count("\n") == 899 and len(got) == 7
     assert D.dedup_lines(df.limit(0)).count() == 0
 
