@@ -14,8 +14,10 @@ that occurs earlier, so the first occurrence of any unit always stays. What rema
 the offsets, in code points, that it had in the original text; a line that goes as a whole
 takes its line break with it.
 
-The windows are shuffled once, by digest; the earliest of each digest is an aggregate over
-that partitioning, which meets the windows again without another shuffle.
+The windows are shuffled once, by digest, and numbered in each digest by a streamed sort. Of
+windows that a batch of documents holds more than once, all but the earliest are marked
+before that and spread over all tasks, so a line that a large part of the corpus shares
+gathers once a batch and not once a document.
 
 Defined results: one row for each id (of repeated rows the first by content); rows with a
 null id keep their text and take no part; a null text stays null with no spans; a text of
@@ -28,8 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import _base as B
 from tessera.llm._text import U, Scan, chunks, mix
@@ -114,24 +118,36 @@ def rebuild(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int
 
 
 def all_windows(docs: DataFrame, min_words: int, min_line: int) -> DataFrame:
-    """(id, s, e, h, g) of every window of docs (id, text)."""
+    """(id, s, e, h, g, late) of every window of docs (id, text).
+
+    late: the same batch holds an earlier one; h is then a number of no meaning."""
     src = docs.where("id is not null and text is not null").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found = []
             for at, part in chunks(b.column(1).to_pylist()):
-                doc, s, e, h, g = windows(part, min_words, min_line)
-                ids = b.column(0).slice(at, len(part)).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(h), pa.array(g)], names=["id", "s", "e", "h", "g"])
+                doc, *rest = windows(part, min_words, min_line)
+                found.append((doc + at, *rest))
+            if not found:
+                continue
+            doc, s, e, h, g = (np.concatenate([f[i] for f in found]) for i in range(5))
+            rank = np.asarray(pc.rank(b.column(0), tiebreaker="dense"))[doc]
+            by = np.lexsort((s, rank, g, h))
+            late = np.zeros(len(doc), bool)
+            late[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (g[by[1:]] == g[by[:-1]])
+            h = np.where(late, mix(h.view(U) + np.arange(len(h), dtype=U) * U(R1)).view(np.int64), h)
+            cols = [b.column(0).take(pa.array(doc)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(h), pa.array(g), pa.array(late)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "s", "e", "h", "g", "late"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, s int, e int, h bigint, g int")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, s int, e int, h bigint, g int, late boolean")
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> DataFrame:
     """(id, s, e) of every window of docs (id, text) that is not the earliest of its digest."""
-    every = all_windows(docs, min_words, min_line).repartition("h", "g")
-    first = every.groupBy("h", "g").agg(F.min(F.struct("id", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
-    return every.join(first, ["h", "g"]).where(F.struct("id", "s") != F.col("first")).select("id", "s", "e")
+    w = Window.partitionBy("h", "g").orderBy("id", "s")
+    placed = all_windows(docs, min_words, min_line).withColumn("nth", F.row_number().over(w))
+    return placed.where("late or nth > 1").select("id", "s", "e")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> DataFrame:
