@@ -334,7 +334,7 @@ def _bm25(terms: dict[str, int], where: str, key: str = "x") -> str:
         "p as (select doc_id, unnest(t) as w, len(t) as dl from tok where len(t) > 0), "
         "tf as (select doc_id, w, count(*)::double as tf, max(dl) as dl from p where w in (select w from q) group by 1, 2), "
         "df as (select w, count(*)::double as df from tf group by 1), "
-        "s as (select doc_id, sum(m * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as score from tf join df using (w) join q using (w), n group by 1) "
+        "s as (select doc_id, sum(m * ln(1 + (0.5 + n - df) / (0.5 + df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as score from tf join df using (w) join q using (w), n group by 1) "
         f"select doc_id, round(score, 4) as score from s {where}"
     )
 
