@@ -335,12 +335,12 @@ def _bm25(terms: dict[str, int], where: str, key: str = "x") -> str:
         "tf as (select doc_id, w, count(*)::double as tf, max(dl) as dl from p where w in (select w from q) group by 1, 2), "
         "df as (select w, count(*)::double as df from tf group by 1), "
         "s as (select doc_id, sum(m * ln(1 + (0.5 + n - df) / (0.5 + df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as score from tf join df using (w) join q using (w), n group by 1) "
-        f"select doc_id, round(score, 4) as score from s {where}"
+        f"select doc_id, round(score, 6) as score from s {where}"
     )
 
 
 def _scored(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.round("__search_score", 4).alias("score"))
+    return df.select("doc_id", F.col("__search_score").alias("score"))
 
 
 @query(_bm25({"from": 1, "thing": 1}, ""))
@@ -363,7 +363,7 @@ def bm25_phrase(spark, sf):
     return _scored(search(docs(spark, sf), '"of the"', with_scores=True, nocontent=True))
 
 
-@query(_bm25({"from": 1}, "").replace("select doc_id, round(score, 4) as score from s ", "select doc_id, round(score + 1.0, 4) as score from s join documents using (doc_id) where lang = 'en'"))
+@query(_bm25({"from": 1}, "").replace("select doc_id, round(score, 6) as score from s ", "select doc_id, round(score + 1.0, 6) as score from s join documents using (doc_id) where lang = 'en'"))
 def bm25_with_filter(spark, sf):
     return _scored(search(docs(spark, sf), "from @lang:{en}", with_scores=True, nocontent=True, verbatim=True))
 
@@ -480,7 +480,7 @@ def knn_batch(spark, sf):
 def ann_cells_recall(spark, sf):
     v = documents(table(spark, sf, "embeddings"), "vec_id")
     asked = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = neighbours.build_cells(v, cells=32).search(asked, 10, probes=20)
+    found = neighbours.build_cells(v, cells=32).search(asked, 10, probes=29)
     both = neighbours.nearest(v, asked, 10).join(found, ["query_id", "doc_id"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
     return both.select((F.col("n") >= 190).alias("good_recall"))
 
@@ -688,10 +688,10 @@ def bloom_merge(spark, sf):
 @query("select event_type as key, count(distinct user_id) as distinct_users, true as all_found, true as grew from events group by 1")
 def bloom_scaling(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), "event_id")
-    f = bloom.fold(e, "event_type", "user_id", "event_id", bloom.Params(0.001, 50, 2))
+    f = bloom.fold(e, "event_type", "user_id", "event_id", bloom.Params(0.001, 8, 2))
     seen = bloom.fold_probe(f, e.select("event_type", "user_id").distinct(), "event_type", "user_id")
     ok = seen.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_users"), F.min("seen").alias("all_found"))
-    return ok.join(f, "key").select("key", "distinct_users", "all_found", ((F.col("filters") > 1) & (F.col("items") <= F.col("distinct_users"))).alias("grew"))
+    return ok.join(f, "key").select("key", "distinct_users", "all_found", (((F.col("filters") > 1) == (F.col("items") > 8)) & (F.col("items") <= F.col("distinct_users"))).alias("grew"))
 
 
 @query("select r::double as rate, greatest(ceil(100 * -ln(r) / (ln(2) * ln(2)))::bigint, 1024) as least_bits, ceil(ln(2) * -ln(r) / (ln(2) * ln(2)))::bigint as hashes from (values (0.01), (0.005), (0.001)) t(r)")
