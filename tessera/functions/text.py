@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 import pandas as pd
@@ -35,11 +35,20 @@ def tokens(col: Column) -> Column:
     return F.transform(runs(col), F.lower)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def phrase_at(toks: Column, terms: list[str]) -> Column:
     """Whether the terms stand next to each other, in order."""
     n, want = len(terms), F.array(*map(F.lit, terms))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1)))
-    return F.exists(starts, lambda i: F.slice(toks, i, n) == want)
+
+    def found(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when(x == terms[0], i + 1).otherwise(F.lit(0))), lambda i: i > 0)
+        return F.exists(starts, lambda i: F.slice(t, i, n) == want)
+
+    return let(toks, found)
 
 
 def phrase_near(toks: Column, terms: list[str], slop: int, in_order: bool) -> Column:
@@ -48,22 +57,26 @@ def phrase_near(toks: Column, terms: list[str], slop: int, in_order: bool) -> Co
     The chain is greedy: each term takes its earliest place that is near enough to the one
     before; forward only if the order counts (or slop is 0), else either way."""
 
-    def places(t: str) -> Column:
-        at = F.transform(toks, lambda x, i: F.when(x == t, i).otherwise(F.lit(-1)))
+    def places(tk: Column, t: str) -> Column:
+        at = F.transform(tk, lambda x, i: F.when(x == t, i).otherwise(F.lit(-1)))
         return F.filter(at, lambda i: i >= 0)
 
-    def reach(t: str, prev: Column) -> Column:
-        def near(p: Column) -> Column:
-            if in_order or slop == 0:
-                return (p > prev) & (p - prev - 1 <= slop)
-            return (p != prev) & (F.abs(p - prev) - 1 <= slop)
+    def near(prev: Column, p: Column) -> Column:
+        if in_order or slop == 0:
+            return (p > prev) & (p - prev - 1 <= slop)
+        return (p != prev) & (F.abs(p - prev) - 1 <= slop)
+
+    def step(tk: Column, ends: Column, left: list[str]) -> Column:
+        if not left:
+            return F.size(ends) > 0
+
+        def on(there: Column) -> Column:
+            nxt = F.transform(ends, lambda prev: F.coalesce(F.array_min(F.filter(there, partial(near, prev))), F.lit(-1)))
+            return let(F.filter(nxt, lambda p: p >= 0), lambda e: step(tk, e, left[1:]))
 
-        return F.coalesce(F.array_min(F.filter(places(t), near)), F.lit(-1_000_000))
+        return let(places(tk, left[0]), on)
 
-    ends = F.transform(places(terms[0]), lambda p: p)
-    for t in terms[1:]:
-        ends = F.filter(F.transform(ends, partial(reach, t)), lambda p: p >= 0)
-    return F.size(ends) > 0
+    return let(toks, lambda tk: let(places(tk, terms[0]), lambda ends: step(tk, ends, terms[1:])))
 
 
 _ODD = {

@@ -175,7 +175,7 @@ class Compiler:
             if len(terms) == 1:
                 return F.array_contains(toks, terms[0])
             if self.options.slop == 0:
-                return phrase_adjacent(toks, terms)
+                return text.phrase_at(toks, terms)
             return text.phrase_near(toks, terms, self.options.slop, self.options.in_order)
         out = F.lit(False)
         plain: set[str] = set()
@@ -228,13 +228,22 @@ class Compiler:
         rare = {t: terms[t] * math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) for t in sorted(terms) if df[t]}
         if not rare or not mean:
             return F.lit(0.0)
-        toks = self.toks(f)
-        own = F.filter(toks, lambda x: x.isin(*rare)) if len(rare) <= 64 else F.filter(toks, lambda x: F.array_contains(F.array(*map(F.lit, rare)), x))
-        weight = F.map_from_arrays(F.array(*map(F.lit, rare)), F.array(*[F.lit(v) for v in rare.values()]))
-        length = K1 * (1 - B + B * F.size(toks) / mean)
-        part = lambda t: F.element_at(weight, t) * (lambda tf: tf * (K1 + 1) / (tf + length))(F.size(F.filter(own, lambda x: x == t)).cast("double"))
-        sum_ = F.aggregate(F.transform(F.array_distinct(own), part), F.lit(0.0), lambda a, x: a + x)
-        return F.coalesce(sum_, F.lit(0.0))
+        any_of = F.array(*map(F.lit, rare))
+        weight = F.map_from_arrays(any_of, F.array(*[F.lit(v) for v in rare.values()]))
+
+        def total(own: Column, size: Column) -> Column:
+            length = K1 * (1 - B + B * size / mean)
+
+            def part(t: Column) -> Column:
+                tf = F.size(F.filter(own, lambda x: x == t)).cast("double")
+                return F.element_at(weight, t) * tf * (K1 + 1) / (tf + length)
+
+            return F.aggregate(F.transform(F.array_distinct(own), part), F.lit(0.0), lambda a, x: a + x)
+
+        def of_tokens(tk: Column) -> Column:
+            return text.let(F.filter(tk, lambda x: F.array_contains(any_of, x)), lambda own: total(own, F.size(tk)))
+
+        return F.coalesce(text.let(self.toks(f), of_tokens), F.lit(0.0))
 
     def counts(self, f: Field, terms: Sequence[str]) -> tuple[int, float, dict[str, int]]:
         """(documents with the field, their mean length, documents of each term), one pass."""
@@ -255,11 +264,6 @@ def _starts_with(prefix: str) -> Callable[[Column], Column]:
     return lambda x: x.startswith(prefix)
 
 
-def phrase_adjacent(toks: Column, terms: list[str]) -> Column:
-    """A phrase without slack: a slice of the tokens; short texts cannot hold it."""
-    return F.when(F.size(toks) >= len(terms), text.phrase_at(toks, terms)).otherwise(False)
-
-
 def knn(index: Index, field_name: str, query: Sequence[float], k: int, candidates: DataFrame | None = None) -> DataFrame:
     """Documents with __vec_score: the k nearest to query, ties by id; exact."""
     f = index.spec.field(field_name, "VECTOR")
