@@ -13,8 +13,8 @@ The labelled sample is bounded by ``TRAIN_DOCS`` (a parameter); everything else
 rows. Without usable labels a small built-in text of seven languages is counted instead.
 
 A document's language is the one that covers most of its letters. Rejected (keep false,
-lang ``und``) are documents in which that is no language, and those without a letter:
-null and empty texts, numbers and punctuation only. Every row gives one row, repeated rows
+lang ``und``) are documents of whose letters ``und`` covers a share of ``REJECT`` or more, and
+those without a letter: null and empty texts, numbers and punctuation only. Every row gives one row, repeated rows
 and null ids included; offsets count code points, end exclusive. Ties go to the language
 first in alphabetical order, ``und`` last.
 """
@@ -40,6 +40,8 @@ BITS = 16
 SMOOTH = 0.5
 FOREIGN = -30.0
 UND = "und"
+#: Share of letters in no language from which on a document is rejected.
+REJECT = 0.9
 #: States times words that are decoded at a time, about.
 CELLS_AT_ONCE = 2_500_000
 
@@ -248,7 +250,8 @@ def identify(model: Model, texts: list[str]) -> Found:
     else:
         doc = s = e = label = np.zeros(0, np.int64)
     total = letters.sum(1)
-    top = np.where(total > 0, letters.argmax(1), k - 1)
+    none = letters[:, -1] >= REJECT * total  # true where there is no letter
+    top = np.where(none, k - 1, letters[:, :-1].argmax(1))
     share = np.where(total > 0, letters[np.arange(len(texts)), top] / np.maximum(total, 1), 0.0)
     return Found([model.langs[x] for x in top], share, np.searchsorted(doc, np.arange(len(texts) + 1)), s, e, label)
 
