@@ -45,8 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, row_bytes: int = 24) -> DataFrame:
-    """df with a broadcast hint if its counted rows are small enough, else as it is.
+def sized(df: DataFrame, row_bytes: int = 100) -> DataFrame:
+    """df with a broadcast hint if its counted rows, at row_bytes in memory, are small
+    enough, else as it is.
     To be called on checkpointed frames, where counting costs next to nothing."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
