@@ -121,6 +121,13 @@ class Scan:
         return first | (stops[self.s] > stops[np.maximum(prev - 1, 0)])
 
 
+def slices(batches: Iterator, rows: int = 2000) -> Iterator:
+    """Arrow batches in parts of at most that many rows, so that few texts are held twice."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) in runs of about size characters; texts stay whole."""
     at, held = 0, 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _base as B
-from tessera.llm._text import DIGIT, U, Scan, chunks, mix
+from tessera.llm._text import DIGIT, U, Scan, chunks, mix, slices
 
 WINDOW = 5
 LITERALS = 3
@@ -106,7 +106,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = B.narrow(items, id=id_col, text=text_col).where("id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for i, text in enumerate(b.column(1).to_pylist()):
                 t = Template([text])
                 length = min(WINDOW, len(t.code))
@@ -132,7 +132,7 @@ def doc_windows(docs: DataFrame, id_col: str, text_col: str, lengths: list[int],
         bits[hashes.view(U) & U(size - 1)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for at0, part in chunks(b.column(1).to_pylist()):
                 t, ids = Template(part), b.column(0).slice(at0, len(part))
                 for length in lengths:

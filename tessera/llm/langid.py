@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _base as B
-from tessera.llm._text import LETTER, LIMIT, Scan, chunks
+from tessera.llm._text import LETTER, LIMIT, Scan, chunks, slices
 
 #: Labelled documents that the model is fitted on, at most (about).
 TRAIN_DOCS = 3000
@@ -275,7 +275,7 @@ def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(model.langs)
-        for b in batches:
+        for b in slices(batches):
             f = identify(model, [t or "" for t in b.column(1).to_pylist()])
             parts = [pa.array(f.start.astype(np.int32)), pa.array(f.end.astype(np.int32)), names.take(pa.array(f.label.astype(np.int32)))]
             spans = pa.ListArray.from_arrays(pa.array(f.offsets.astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(kind)))
@@ -291,7 +291,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             f = identify(model, [t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array([x != UND for x in f.lang], pa.bool_()))
 
