@@ -36,8 +36,8 @@ from tessera.llm._text import DIGIT, U, Scan, chunks, mix, slices
 WINDOW = 5
 LITERALS = 3
 COVER = 0.4
-#: Beyond this many benchmark windows (8 bytes each) no bitmap is made.
-BITMAP_WINDOWS = 4_000_000
+#: Beyond this many benchmark windows no bitmap is made; it takes 64 to 128 bytes a window.
+BITMAP_WINDOWS = 250_000
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz pound pounds gram grams "
     "ton tons tonnes ml cl l liter liters litre litres ms s sec second seconds min minute minutes h hr hour hours day days "
