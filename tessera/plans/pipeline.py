@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators.reducers import Reducer, aggregate, number, parse_reducer, quantile_share
 from tessera.operators.sketches.digest import exact_at
@@ -154,18 +154,26 @@ def run_aggregate(index: Index, query: str, words: Sequence[str] | Pipeline) ->
 
 
 class Cursors:
-    """Open results that are read a batch at a time; the frame is written once, numbered."""
+    """Open results that are read a batch at a time.
+
+    The frame is kept and its rows numbered from the sizes of its partitions, in order."""
 
     def __init__(self) -> None:
         self.open: dict[str, tuple[DataFrame, int, int, int]] = {}
+        self.held: dict[str, DataFrame] = {}
 
     def start(self, df: DataFrame, batch: int = DEFAULT_BATCH) -> tuple[str, DataFrame]:
         """(id, first batch); the id is '0' once all is read."""
-        order = Window.orderBy("__part", "__in")
-        placed = df.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id())
-        kept = placed.withColumn("__row", F.row_number().over(order)).drop("__part", "__in").persist()
+        mark = F.monotonically_increasing_id()  # the partition's number, then the row's in 33 bits
+        placed = df.withColumn("__at", mark).persist()
+        part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = sorted((r["p"], r["count"]) for r in placed.groupBy(part.alias("p")).count().collect())
+        before = dict(zip((p for p, _ in sizes), accumulate([0, *(n for _, n in sizes)])))
+        starts = df.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "__p long, __before long")
+        kept = placed.join(F.broadcast(starts), part == F.col("__p")).withColumn("__row", F.col("__before") + place + 1).drop("__p", "__before", "__at")
         key = uuid.uuid4().hex
-        self.open[key] = (kept, 0, kept.count(), batch)
+        self.open[key] = (kept, 0, sum(n for _, n in sizes), batch)
+        self.held[key] = placed
         return self.read(key)
 
     def read(self, key: str, batch: int | None = None) -> tuple[str, DataFrame]:
@@ -176,6 +184,7 @@ class Cursors:
         rows = df.where((F.col("__row") > at) & (F.col("__row") <= stop)).orderBy("__row").drop("__row")
         if stop >= total:
             del self.open[key]
+            self.held.pop(key)
             return "0", rows
         self.open[key] = (df, stop, total, usual)
         return key, rows
@@ -183,7 +192,8 @@ class Cursors:
     def close(self, key: str) -> None:
         if key not in self.open:
             raise PipelineError("no such cursor")
-        self.open.pop(key)[0].unpersist()
+        self.open.pop(key)
+        self.held.pop(key).unpersist()
 
 
 def batches(df: DataFrame, size: int = DEFAULT_BATCH) -> Iterator[list]:
