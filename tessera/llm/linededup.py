@@ -3,10 +3,11 @@
 A text is cut in lines, and a line in units: a unit ends at a sentence end or before a
 capitalised word, so that a passage set into other text begins and ends with a unit. What
 is hashed are windows of whole units of one line: from each unit on, and back from each
-unit, the fewest units that have ``MIN_WORDS`` words together; and a line of fewer words,
-but of ``MIN_LINE`` at least, as a whole. Normalised, a window is the sequence of its
+unit, the fewest units that have ``MIN_WORDS`` words together; and every line of
+``MIN_LINE`` words at least as a whole. Normalised, a window is the sequence of its
 lower-cased words and numbers; its digest has 96 bits. A run of more than 12 letters
-counts as a word for each 12, for scripts without spaces.
+counts as a word for each 12, for scripts without spaces. A line without words, but not
+blank, is a window of its characters without white space.
 
 Of all windows with one digest, over all documents, the earliest by (doc_id, offset)
 stays; the text of the others is removed. A unit is only removed if it stands in a window
@@ -27,6 +28,7 @@ which everything is removed is empty with no spans.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql.window import Window
 from tessera.llm import _base as B
 from tessera.llm._text import U, Scan, chunks, mix
 
-MIN_WORDS, MIN_LINE = 8, 5
+MIN_WORDS, MIN_LINE = 8, 1
 WORD_LETTERS = 12
 R1, R2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -52,9 +54,30 @@ def running_hash(code: np.ndarray, a: np.ndarray, b: np.ndarray, r: int) -> np.n
     return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U) * U(0xA0761D6478BD642F))
 
 
+def wordless(scan: Scan, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(index of the text, start, stop, h, g) of every line that has no word and isn't blank."""
+    breaks = np.flatnonzero(scan.cp == 10)
+    begins = np.concatenate([[0], breaks[:-1] + 1])
+    bare = breaks > begins
+    bare[np.searchsorted(breaks, scan.s)] = False
+    s, e = begins[bare], breaks[bare]
+    doc = np.searchsorted(scan.base, s, "right") - 1
+    s, e = s - scan.base[doc], e - scan.base[doc]
+    signs = ["".join(texts[d][a:b].split()) for d, a, b in zip(doc.tolist(), s.tolist(), e.tolist())]
+    full = np.array([bool(x) for x in signs], bool)
+    digests = b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=12).digest() for x in signs if x)
+    both = np.frombuffer(digests, np.dtype([("h", "<i8"), ("g", "<i4")]))
+    return doc[full], s[full], e[full], both["h"], both["g"]
+
+
 def windows(texts: list[str], min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> tuple[np.ndarray, ...]:
     """(index of the text, start, stop, h, g) of every window of the texts."""
     scan = Scan(texts)
+    return tuple(np.concatenate(x) for x in zip(worded(scan, min_words, min_line), wordless(scan, texts)))
+
+
+def worded(scan: Scan, min_words: int, min_line: int) -> tuple[np.ndarray, ...]:
+    """The windows that have words."""
     n = len(scan.s)
     if not n:
         none = np.zeros(0, np.int64)
@@ -77,8 +100,8 @@ def windows(texts: list[str], min_words: int = MIN_WORDS, min_line: int = MIN_LI
     line_first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     line_last = np.concatenate([line_first[1:], [len(first)]]) - 1
     total = upto[line_last] - at[line_first]
-    short = (total >= min_line) & (total < min_words)
-    pairs = np.concatenate([k[ok] * len(first) + to[ok], frm[back] * len(first) + k[back], line_first[short] * len(first) + line_last[short]])
+    whole = total >= min_line
+    pairs = np.concatenate([k[ok] * len(first) + to[ok], frm[back] * len(first) + k[back], line_first[whole] * len(first) + line_last[whole]])
     pairs = np.unique(pairs)
     i, j = pairs // len(first), pairs % len(first)
     a, b = first[i], last[j]

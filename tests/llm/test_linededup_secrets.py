@@ -94,6 +94,27 @@ def test_lines_edge_cases(spark):
     assert D.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_every_repeated_line_goes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = lambda line: tuple(re.findall(r"[^\W\d_]+|\d+", line.lower())) or "".join(line.split())
+    spans = {r.doc_id: r.spans for r in D.dedup_lines(docs).collect()}
+    seen, again, stay = set(), 0, []
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        kept = {p for s in spans[r.doc_id] for p in range(s.start, s.stop)}
+        at = 0
+        for line in r.text.split("\n"):
+            if line.strip() and key(line) in seen:
+                again += 1
+                if not kept.isdisjoint(range(at, at + len(line))):
+                    stay.append(line)
+            seen.add(key(line))
+            at += len(line) + 1
+    assert stay == [] and again > 100
+    rows = [(1, "All rights reserved.\nLes.\none\n---\n\n  \n{"), (2, "all  rights reserved\ntwo\nLes\n\n  \n - - -\n\U00030001\n}"), (3, "***\n***\n\U00030002"), (4, "---"), (5, "ONE LINE OF WORDS THAT IS IN CAPITALS ONCE"), (6, "One line of words that is in Capitals once")]
+    got = {r.doc_id: r.text for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "two\n\n  \n\U00030001\n}", 3: "***\n\U00030002", 4: "", 5: rows[4][1], 6: ""}
+
+
 def test_forest_on_held_out_findings():
     held = S.labelled_findings(1500, seed=99)
     score = S.default_forest().score(np.array([S.features(f) for f in held]))
