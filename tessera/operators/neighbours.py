@@ -2,7 +2,8 @@
 
 A cell index assigns every vector to its nearest centre; centres come from a few rounds of
 k-means over a bounded sample. A query reads only the cells whose centres are nearest, then
-ranks exactly. Cells are a column, so a table written by cell is pruned by it.
+ranks exactly. Cells are a column, so a table written by cell is pruned by it. The default
+number of probes is for vectors without clusters, of which a query's neighbours lie in many cells.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import vector
 
-SAMPLE, CELLS, PROBES = 20_000, 64, 24
+SAMPLE, CELLS, PROBES = 20_000, 64, 48
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2", vec: str = "embedding") -> DataFrame:

@@ -480,7 +480,7 @@ def knn_batch(spark, sf):
 def ann_cells_recall(spark, sf):
     v = documents(table(spark, sf, "embeddings"), "vec_id")
     asked = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = neighbours.build_cells(v, cells=32).search(asked, 10, probes=29)
+    found = neighbours.build_cells(v).search(asked, 10)
     both = neighbours.nearest(v, asked, 10).join(found, ["query_id", "doc_id"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
     return both.select((F.col("n") >= 190).alias("good_recall"))
 

@@ -156,3 +156,11 @@ def test_cells_recall(spark):
     assert less.frame.count() == 250 and less.add(df.where("doc_id < 10")).frame.count() == 260
     with pytest.raises(ValueError):
         neighbours.build_cells(df.limit(0))
+
+
+def test_cells_recall_at_the_defaults(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = df.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact, got = neighbours.nearest(df, q, 10), neighbours.build_cells(df).search(q, 10)
+    hits, n = exact.join(got, ["query_id", "doc_id"], "left_semi").count(), 10 * df.count()
+    assert hits / n >= 0.95, hits / n
