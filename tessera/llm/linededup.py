@@ -9,6 +9,13 @@ lower-cased words and numbers; its digest has 96 bits. A run of more than 12 let
 counts as a word for each 12, for scripts without spaces. A line without words, but not
 blank, is a window of its characters without white space.
 
+With ``inside`` there are windows of a second kind, for passages that begin or end inside a
+sentence or are wrapped at other places: sentences and line breaks don't count, and a unit
+begins at each word whose hash is the least of any ``CUT`` words in a row, ties included.
+From each unit on, the fewest that have ``MIN_WORDS`` words are a window. As the cuts follow
+from the words alone and are at most ``CUT`` words apart, equal passages are cut alike; of
+theirs up to ``CUT`` words at the front and ``CUT + MIN_WORDS`` at the back may stay.
+
 Of all windows with one digest, over all documents, the earliest by (doc_id, offset)
 stays; the text of the others is removed. A unit is only removed if it stands in a window
 that occurs earlier, so the first occurrence of any unit always stays. What remains keeps
@@ -42,6 +49,7 @@ from tessera.llm._text import U, Scan, chunks, mix
 
 MIN_WORDS, MIN_LINE = 8, 1
 WORD_LETTERS = 12
+CUT = 16
 R1, R2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -70,13 +78,41 @@ def wordless(scan: Scan, texts: list[str]) -> tuple[np.ndarray, ...]:
     return doc[full], s[full], e[full], both["h"], both["g"]
 
 
-def windows(texts: list[str], min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> tuple[np.ndarray, ...]:
+def windows(texts: list[str], min_words: int = MIN_WORDS, min_line: int = MIN_LINE, inside: bool = False) -> tuple[np.ndarray, ...]:
     """(index of the text, start, stop, h, g) of every window of the texts."""
     scan = Scan(texts)
-    return tuple(np.concatenate(x) for x in zip(worded(scan, min_words, min_line), wordless(scan, texts)))
+    return tuple(np.concatenate(x) for x in zip(worded(scan, min_words, min_line, inside), wordless(scan, texts)))
+
+
+def spans_of(first: np.ndarray, group: np.ndarray, words: np.ndarray, min_words: int, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, the one after the last) of the fewest units that have min_words words,
+    from each unit on and, if both, back from each, in one group; words: before each token."""
+    last = np.concatenate([first[1:], [len(words) - 1]])
+    at, upto, own = words[first], words[last], group[first]
+    k = np.arange(len(first))
+    to = np.searchsorted(upto, at + min_words, "left")  # windows from k to to[k]
+    ok = to < len(first)
+    ok[ok] = own[to[ok]] == own[ok]
+    if not both:
+        return first[ok], last[to[ok]]
+    frm = np.searchsorted(at, upto - min_words, "right") - 1  # windows from frm[k] to k
+    back = frm >= 0
+    back[back] = own[frm[back]] == own[back]
+    return np.concatenate([first[k[ok]], first[frm[back]]]), np.concatenate([last[to[ok]], last[k[back]]])
 
 
-def worded(scan: Scan, min_words: int, min_line: int) -> tuple[np.ndarray, ...]:
+def least(code: np.ndarray, doc: np.ndarray, w: int = CUT) -> np.ndarray:
+    """Tokens whose hash is the least of w tokens in a row of their document."""
+    n, view = len(code), np.lib.stride_tricks.sliding_window_view
+    if n < w:
+        return np.zeros(n, bool)
+    v = mix(code) | U(1)
+    low = np.where(doc[w - 1 :] == doc[: n - w + 1], view(v, w).min(1), U(0))
+    edge = np.zeros(w - 1, U)
+    return view(np.concatenate([edge, low, edge]), w).max(1) == v
+
+
+def worded(scan: Scan, min_words: int, min_line: int, inside: bool) -> tuple[np.ndarray, ...]:
     """The windows that have words."""
     n = len(scan.s)
     if not n:
@@ -86,31 +122,22 @@ def worded(scan: Scan, min_words: int, min_line: int) -> tuple[np.ndarray, ...]:
     line = np.searchsorted(breaks, scan.s)
     opens = np.concatenate([[True], line[1:] != line[:-1]])
     first = np.flatnonzero(opens | scan.after_stop() | scan.capitalised())  # first token of each unit
-    last = np.concatenate([first[1:], [n]])  # and the one after its last
-    own = line[first]
     words = np.concatenate([[0], np.cumsum(-(-(scan.e - scan.s) // WORD_LETTERS))])
-    at, upto = words[first], words[last]
-    k = np.arange(len(first))
-    to = np.searchsorted(upto, at + min_words, "left")  # windows from k to to[k]
-    ok = to < len(first)
-    ok[ok] = own[to[ok]] == own[ok]
-    frm = np.searchsorted(at, upto - min_words, "right") - 1  # windows from frm[k] to k
-    back = frm >= 0
-    back[back] = own[frm[back]] == own[back]
-    line_first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    line_last = np.concatenate([line_first[1:], [len(first)]]) - 1
-    total = upto[line_last] - at[line_first]
-    whole = total >= min_line
-    pairs = np.concatenate([k[ok] * len(first) + to[ok], frm[back] * len(first) + k[back], line_first[whole] * len(first) + line_last[whole]])
-    pairs = np.unique(pairs)
-    i, j = pairs // len(first), pairs % len(first)
-    a, b = first[i], last[j]
     code = scan.codes()
+    line_first = np.flatnonzero(opens)
+    line_last = np.concatenate([line_first[1:], [n]])
+    whole = words[line_last] - words[line_first] >= min_line
+    found = [spans_of(first, line, words, min_words), (line_first[whole], line_last[whole])]
+    if inside:
+        cut = np.concatenate([[True], scan.doc[1:] != scan.doc[:-1]])
+        found.append(spans_of(np.flatnonzero(cut | least(code, scan.doc)), scan.doc, words, min_words, both=False))
+    pairs = np.unique(np.concatenate([x * (n + 1) + y for x, y in found]))
+    a, b = pairs // (n + 1), pairs % (n + 1)
     h = running_hash(code, a, b, R1).view(np.int64)
     g = (running_hash(code, a, b, R2) >> U(32)).astype(np.uint32).view(np.int32)
     starts = np.where(opens[a], np.concatenate([[0], breaks + 1])[line[a]], scan.s[a])
     after = np.minimum(b, n - 1)
-    ends = np.where((b < n) & (line[after] == line[a]), scan.s[after], breaks[line[a]])
+    ends = np.where((b < n) & (line[after] == line[b - 1]), scan.s[after], breaks[line[b - 1]])
     doc = scan.doc[a]
     return doc, starts - scan.base[doc], ends - scan.base[doc], h, g
 
@@ -140,7 +167,7 @@ def rebuild(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int
     return "".join(text[s:e] for s, e in spans), spans
 
 
-def all_windows(docs: DataFrame, min_words: int, min_line: int) -> DataFrame:
+def all_windows(docs: DataFrame, min_words: int, min_line: int, inside: bool) -> DataFrame:
     """(id, s, e, h, g, late) of every window of docs (id, text).
 
     late: the same batch holds an earlier one; h is then a number of no meaning."""
@@ -150,7 +177,7 @@ def all_windows(docs: DataFrame, min_words: int, min_line: int) -> DataFrame:
         for b in batches:
             found = []
             for at, part in chunks(b.column(1).to_pylist()):
-                doc, *rest = windows(part, min_words, min_line)
+                doc, *rest = windows(part, min_words, min_line, inside)
                 found.append((doc + at, *rest))
             if not found:
                 continue
@@ -166,17 +193,17 @@ def all_windows(docs: DataFrame, min_words: int, min_line: int) -> DataFrame:
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, s int, e int, h bigint, g int, late boolean")
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, min_line: int = MIN_LINE, inside: bool = False) -> DataFrame:
     """(id, s, e) of every window of docs (id, text) that is not the earliest of its digest."""
     w = Window.partitionBy("h", "g").orderBy("id", "s")
-    placed = all_windows(docs, min_words, min_line).withColumn("nth", F.row_number().over(w))
+    placed = all_windows(docs, min_words, min_line, inside).withColumn("nth", F.row_number().over(w))
     return placed.where("late or nth > 1").select("id", "s", "e")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line: int = MIN_LINE) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line: int = MIN_LINE, inside: bool = False) -> DataFrame:
     """(doc_id, text, spans): every document without what occurs earlier."""
     src = B.one_row_per_id(B.narrow(docs, id=id_col, text=text_col), "id")
-    gone = repeated(src, min_words, min_line).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("gone")).withColumnRenamed("id", "of")
+    gone = repeated(src, min_words, min_line, inside).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("gone")).withColumnRenamed("id", "of")
     both = src.join(gone, src["id"] == gone["of"], "left").select("id", "text", F.col("gone.s").alias("starts"), F.col("gone.e").alias("ends"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -194,6 +221,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table without repeated passages; kept: spans as 'start-stop,..'."""
-    done = dedup_lines(B.table(spark, sf_dir, "documents"))
+    done = dedup_lines(B.table(spark, sf_dir, "documents"), inside=True)
     kept = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
     return done.select("doc_id", "text", kept.alias("kept"))

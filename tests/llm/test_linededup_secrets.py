@@ -115,6 +115,24 @@ def test_every_repeated_line_goes(spark):
     assert got == {1: rows[0][1], 2: "two\n\n  \n\U00030001\n}", 3: "***\n\U00030002", 4: "", 5: rows[4][1], 6: ""}
 
 
+def test_passages_inside_sentences_and_across_lines(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)]
+    passage, texts = word(60), []
+    for k in range(6):
+        ws = word(40) + passage + word(40)
+        texts.append("".join(w + ("\n" if k and i % (7 + k) == 0 else " ") for i, w in enumerate(ws)).rstrip())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text.split() for r in D.op10_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got[0] == texts[0].split()
+    for k in range(1, 6):
+        own = [w for w in texts[k].split() if w not in passage]
+        assert [w for w in got[k] if w not in passage] == own and len(got[k]) - len(own) <= 2 * D.CUT
+    alone, both = (D.windows(t, inside=True) for t in ([texts[1]], [texts[0], texts[1]]))
+    assert set(zip(*alone[1:])) == {x[1:] for x in zip(*both) if x[0] == 1}
+
+
 def test_forest_on_held_out_findings():
     held = S.labelled_findings(1500, seed=99)
     score = S.default_forest().score(np.array([S.features(f) for f in held]))
