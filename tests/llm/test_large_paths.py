@@ -18,7 +18,7 @@ def test_without_broadcasts(spark, monkeypatch):
     )
     want = [rows(j()) for j in jobs]
     monkeypatch.setattr(B, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(decontam, "BITMAP_WINDOWS", -1)
+    monkeypatch.setattr(decontam, "BITMAP_BITS", 64)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert [rows(j()) for j in jobs] == want
