@@ -41,7 +41,7 @@ SMOOTH = 0.5
 FOREIGN = -30.0
 UND = "und"
 #: Share of letters in no language from which on a document is rejected.
-REJECT = 0.9
+REJECT = 0.5
 #: States times words that are decoded at a time, about.
 CELLS_AT_ONCE = 2_500_000
 
@@ -171,8 +171,8 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> n
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), "left")  # sequences longer than t
-    back, best = np.zeros((n, k), np.int8), scores[starts[: active[0]]].astype(np.float64) if longest else None
-    ids = np.arange(k, dtype=np.int8)
+    back, best = np.zeros((n, k), np.int16), scores[starts[: active[0]]].astype(np.float64) if longest else None
+    ids = np.arange(k, dtype=np.int16)
     for t in range(1, longest):
         m = active[t]
         v = best[:m]
@@ -180,9 +180,9 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> n
         jump = v.max(1, keepdims=True) - penalty
         better = jump > v
         at = starts[:m] + t
-        back[at] = np.where(better, top[:, None].astype(np.int8), ids)
+        back[at] = np.where(better, top[:, None].astype(np.int16), ids)
         best[:m] = np.where(better, jump, v) + scores[at]
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int16)
     if not longest:
         return out
     state = best.argmax(1)
@@ -223,9 +223,9 @@ def identify(model: Model, texts: list[str]) -> Found:
         sizes = np.diff(np.concatenate([cuts, [len(doc)]]))
         by = np.argsort(-sizes, kind="stable")
         rows = np.repeat(cuts[by] - np.concatenate([[0], np.cumsum(sizes[by])[:-1]]), sizes[by]) + np.arange(len(doc))
-        label = np.empty(len(doc), np.int8)
+        label = np.empty(len(doc), np.int16)
         best = viterbi(sc[rows], sizes[by])
-        label[rows] = best if width == k else np.where(best == width - 1, np.int8(k - 1), best)
+        label[rows] = best if width == k else np.where(best == width - 1, np.int16(k - 1), best)
         np.add.at(letters, (doc, label), e - s)
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])])
         first = np.flatnonzero(new)

@@ -89,6 +89,30 @@ def test_noise_is_rejected(spark):
     assert L.identify(model, [noise]).lang == ["und"]
 
 
+def test_documents_that_are_noise_for_the_most_part_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.fit_model(docs)
+    r = random.Random(3)
+    noise = lambda n: " ".join("".join(r.choices("qxzwvkjy", k=r.randint(3, 9))) for _ in range(n))
+    base = [x.text for x in docs.where("length(text) between 400 and 1500").orderBy("doc_id").limit(60).collect()]
+    rejected = {}
+    for share in (0.25, 0.6, 0.75, 0.9):
+        made = [t + " " + noise(int(len(t.split()) * share / (1 - share))) for t in base]
+        rejected[share] = sum(x == L.UND for x in L.identify(model, made).lang)
+    assert rejected[0.25] == 0 and all(rejected[s] >= 0.95 * len(base) for s in (0.6, 0.75, 0.9))
+
+
+def test_more_labels_than_a_byte_can_count():
+    r = random.Random(9)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(200)]
+    text = lambda k, n: " ".join("".join(r.choices(alphabets[k], k=5)) for _ in range(n))
+    model = L.Model.fit([text(k, 200) for k in range(200)], [f"l{k:03}" for k in range(200)])
+    assert len(model.langs) > 200
+    f = L.identify(model, [text(k, 80) for k in range(200)])
+    assert sum(x == f"l{k:03}" for k, x in enumerate(f.lang)) >= 190
+    assert f.label.max() > 150
+
+
 def test_edge_cases(spark, model):
     long = "the time of the other man was all that they had " * 5000
     rows = [(1, None, "a", 1), (2, "", "a", 2), (None, "this is what they said", "a", 3), (3, long, None, 4), (3, long, None, 4)]
