@@ -12,6 +12,12 @@ Parsing gives a syntax tree of tuples; constants are folded (expressions, branch
 text); the tree is then turned into Python closures, which render conversations and return
 the text with the (start, stop) offsets of its generated parts.
 
+The sandbox is bounded too: no string, list or output may be larger than ``MAX_CHARS`` plus
+``MAX_GROWTH`` times the conversation, integers have 64 bits, and operations (the turns of
+loops, and each 1,024 characters or elements that one reads) are ``MAX_STEPS`` plus
+``MESSAGE_STEPS`` a message at most. A template that goes beyond is refused, as is any error
+in it: the query fails, and no row is left out.
+
 Defined results: one row for each conv_id (null is a conversation too); messages go by turn
 (nulls first), then role and text, repeated rows stay; a null role or text renders empty.
 """
@@ -20,7 +26,9 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import Any
 
@@ -32,6 +40,8 @@ from tessera.llm import _base as B
 
 Node = tuple
 MAX_RANGE = 100_000
+MAX_CHARS, MAX_GROWTH = 1_000_000, 64
+MAX_STEPS, MESSAGE_STEPS = 1_000_000, 10_000
 
 CHATML = (
     "{%- for m in messages -%}{{ '<|im_start|>' ~ m.role ~ '\\n' }}"
@@ -44,6 +54,58 @@ class TemplateError(ValueError):
     """A template that cannot be compiled, or that refuses its input."""
 
 
+class Budget(threading.local):
+    """What the rendering in hand may still use."""
+
+    chars, steps = MAX_CHARS, MAX_STEPS
+
+    @contextmanager
+    def of(self, chars: int, messages: int) -> Iterator[None]:
+        held = self.chars, self.steps
+        self.chars, self.steps = MAX_CHARS + MAX_GROWTH * chars, MAX_STEPS + MESSAGE_STEPS * messages
+        try:
+            yield
+        finally:
+            self.chars, self.steps = held
+
+    def spend(self, *values: Any) -> None:
+        n = 1
+        for v in values:
+            if isinstance(v, (str, list, dict)):
+                n += len(v) >> 10
+        self.steps -= n
+        if self.steps < 0:
+            raise TemplateError("the template takes too many steps")
+
+    def fit(self, size: int) -> None:
+        if size > self.chars:
+            raise TemplateError("a value is too large")
+
+    def check(self, v: Any) -> Any:
+        """v, if it isn't too large."""
+        if isinstance(v, (str, list, dict)):
+            self.fit(len(v))
+        elif isinstance(v, int) and not -(2**63) <= v < 2**63:
+            raise TemplateError("a number is too large")
+        return v
+
+    def weigh(self, v: Any) -> Any:
+        """v, if it isn't too large with all that it holds."""
+        total, left = 0, [v]
+        while left:
+            x = left.pop()
+            total += len(x) if isinstance(x, str) else 2 + 4 * len(x) if isinstance(x, (list, tuple, dict)) else 20
+            self.fit(total)
+            if isinstance(x, (list, tuple)):
+                left += x
+            elif isinstance(x, dict):
+                left += [*x.keys(), *x.values()]
+        return v
+
+
+BUDGET = Budget()
+
+
 class Missing:
     """The value of names and keys that are not there: empty, false."""
 
@@ -68,17 +130,32 @@ class Namespace(dict):
 
 
 def show(v: Any) -> str:
-    return "" if v is None else "true" if v is True else "false" if v is False else v if isinstance(v, str) else str(v)
+    return "" if v is None else "true" if v is True else "false" if v is False else v if isinstance(v, str) else str(BUDGET.weigh(v))
 
 
 def join(v: Any, sep: str = "", key: str | None = None) -> str:
-    return sep.join(show(get(x, key) if key else x) for x in v)
+    parts, size = [], 0
+    for x in v:
+        parts.append(show(get(x, key) if key else x))
+        size += len(parts[-1]) + len(sep)
+        BUDGET.fit(size)
+    return sep.join(parts)
+
+
+def replaced(v: Any, a: str, b: str, *count: int) -> str:
+    v = show(v)
+    BUDGET.fit(len(v) + v.count(a) * len(b))
+    return v.replace(a, b, *count)
+
+
+def to_json(v: Any, indent: int | None = None) -> str:
+    return json.dumps(BUDGET.weigh(v), ensure_ascii=False, indent=min(indent, 16) if isinstance(indent, int) else None)
 
 
 FILTERS: dict[str, Callable[..., Any]] = {
     "trim": lambda v: show(v).strip(), "upper": lambda v: show(v).upper(), "lower": lambda v: show(v).lower(), "title": lambda v: show(v).title(), "capitalize": lambda v: show(v).capitalize(),
     "length": len, "count": len, "default": lambda v, d="", falsy=False: d if v is MISSING or v is None or (falsy and not v) else v, "join": join,
-    "tojson": lambda v, indent=None: json.dumps(v, ensure_ascii=False, indent=indent), "replace": lambda v, a, b: show(v).replace(a, b), "first": lambda v: next(iter(v), MISSING),
+    "tojson": to_json, "replace": replaced, "first": lambda v: next(iter(v), MISSING),
     "last": lambda v: v[-1] if len(v) else MISSING, "list": list, "string": show, "int": lambda v, d=0: int(v) if re.fullmatch(r"\s*[+-]?\d+\s*", show(v)) else d, "reverse": lambda v: v[::-1], "sort": sorted, "unique": lambda v: list(dict.fromkeys(v)),
     "items": lambda v: list(v.items()), "selectattr": lambda v, key, test="eq", x=True: [e for e in v if TESTS[test](get(e, key), x)], "rejectattr": lambda v, key, test="eq", x=True: [e for e in v if not TESTS[test](get(e, key), x)], "map": lambda v, attribute: [get(e, attribute) for e in v],
 }
@@ -93,6 +170,7 @@ METHODS = {"strip", "lstrip", "rstrip", "startswith", "endswith", "upper", "lowe
 def bounded(*a: int) -> list[int]:
     if len(r := range(*a)) > MAX_RANGE:
         raise TemplateError("range is too long")
+    BUDGET.steps -= len(r)
     return list(r)
 
 
@@ -114,13 +192,19 @@ def get(v: Any, key: Any) -> Any:
 
 def multiply(a: Any, b: Any) -> Any:
     for x, n in ((a, b), (b, a)):
-        if isinstance(x, (str, list)) and isinstance(n, int) and len(x) * n > 1_000_000:
+        if isinstance(x, (str, list)) and isinstance(n, int) and len(x) * n > MAX_CHARS:
             raise TemplateError("repetition is too long")
     return a * b
 
 
+def added(a: Any, b: Any) -> Any:
+    if isinstance(a, (str, list)) and isinstance(b, (str, list)):
+        BUDGET.fit(len(a) + len(b))
+    return a + b
+
+
 BINARY: dict[str, Callable[[Any, Any], Any]] = {
-    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": multiply, "/": lambda a, b: a / b, "//": lambda a, b: a // b, "%": lambda a, b: a % b, "~": lambda a, b: show(a) + show(b),
+    "+": added, "-": lambda a, b: a - b, "*": multiply, "/": lambda a, b: a / b, "//": lambda a, b: a // b, "%": lambda a, b: a % b, "~": lambda a, b: added(show(a), show(b)),
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "not in": lambda a, b: a not in b,
 }
 TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.\d+|\d+)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|//|[-+*/%~<>=().,:|\[\]{}]))""", re.S)
@@ -468,21 +552,35 @@ def closure(node: Node) -> Callable[[Env], Any]:
         return lambda env: {k(env): v(env) for k, v in pairs}
     if kind == "bin":
         op, a, b = BINARY[node[1]], closure(node[2]), closure(node[3])
-        return lambda env: op(a(env), b(env))
+
+        def binary(env: Env) -> Any:
+            x, y = a(env), b(env)
+            BUDGET.spend(x, y)
+            return BUDGET.check(op(x, y))
+
+        return binary
     if kind in ("filter", "test", "call", "method"):
         at = 2 if kind == "call" else 3
         args, named = [closure(x) for x in node[at]], {k: closure(v) for k, v in node[at + 1].items()}
         if kind == "call":
             fn = FUNCTIONS[node[1]]
-            return lambda env: fn(*[f(env) for f in args], **{k: f(env) for k, f in named.items()})
+
+            def call(env: Env) -> Any:
+                BUDGET.spend()
+                return fn(*[f(env) for f in args], **{k: f(env) for k, f in named.items()})
+
+            return call
         obj = closure(node[2])
         if kind == "method":
             name = node[1]
 
             def method(env: Env) -> Any:
                 v = obj(env)
+                BUDGET.spend(v)
+                if isinstance(v, str) and name == "replace":
+                    return replaced(v, *[f(env) for f in args])
                 if isinstance(v, str) and name in METHODS:
-                    return getattr(v, name)(*[f(env) for f in args])
+                    return BUDGET.check(getattr(v, name)(*[f(env) for f in args]))
                 if isinstance(v, dict) and name == "get":
                     return v.get(*[f(env) for f in args])
                 if isinstance(v, dict) and name in ("items", "keys", "values"):
@@ -491,7 +589,13 @@ def closure(node: Node) -> Callable[[Env], Any]:
 
             return method
         fn = (FILTERS if kind == "filter" else TESTS)[node[1]]
-        return lambda env: fn(obj(env), *[f(env) for f in args], **{k: f(env) for k, f in named.items()})
+
+        def apply(env: Env) -> Any:
+            v = obj(env)
+            BUDGET.spend(v)
+            return BUDGET.check(fn(v, *[f(env) for f in args], **{k: f(env) for k, f in named.items()}))
+
+        return apply
     parts = [closure(x) for x in node[1:]]
     if kind == "item":
         return lambda env: get(parts[0](env), parts[1](env))
@@ -519,6 +623,7 @@ class Sink:
     def put(self, s: str) -> None:
         self.parts.append(s)
         self.size += len(s)
+        BUDGET.fit(self.size)
 
 
 Step = Callable[[Env, Sink], None]
@@ -582,12 +687,14 @@ def step(n: Node) -> Step:
         if ok:
             kept = []
             for x in seq:
+                BUDGET.spend()
                 own = dict(env)
                 bind(own, x)
                 if ok(own):
                     kept.append(x)
             seq = kept
         for i, x in enumerate(seq):
+            BUDGET.spend(env)
             own = dict(env)  # what a loop sets stays in it
             bind(own, x)
             own["loop"] = {"index": i + 1, "index0": i, "first": i == 0, "last": i == len(seq) - 1, "length": len(seq), "revindex": len(seq) - i, "previtem": seq[i - 1] if i else MISSING, "nextitem": seq[i + 1] if i + 1 < len(seq) else MISSING}
@@ -602,12 +709,17 @@ class Template:
     """A compiled template."""
 
     def __init__(self, source: str):
-        self.tree = fold_block(parse(source))
-        self.run = steps(self.tree)
+        with BUDGET.of(len(source), 0):
+            try:
+                self.tree = fold_block(parse(source))
+                self.run = steps(self.tree)
+            except RecursionError:
+                raise TemplateError("the template is nested too deeply") from None
 
     def render(self, messages: list[dict[str, Any]], **variables: Any) -> tuple[str, list[tuple[int, int]]]:
         out = Sink()
-        self.run({**variables, "messages": messages}, out)
+        with BUDGET.of(sum(len(v) for m in messages for v in m.values() if isinstance(v, str)), len(messages)):
+            self.run({**variables, "messages": messages}, out)
         return "".join(out.parts), out.spans
 
 

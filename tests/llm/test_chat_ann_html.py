@@ -53,6 +53,32 @@ def test_sandbox():
     assert C.Template("{{ x.real }}{{ x.append }}").render([], x=3)[0] == ""
 
 
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "{% set ns = namespace(s='ab') %}{% for i in range(40) %}{% set ns.s = ns.s ~ ns.s %}{% endfor %}",
+        "{% set ns = namespace(s=['a']) %}{% for i in range(40) %}{% set ns.s = ns.s + ns.s %}{% endfor %}",
+        "{% set ns = namespace(s=['a']) %}{% for i in range(60) %}{% set ns.s = [ns.s, ns.s] %}{% endfor %}{{ ns.s }}",
+        "{% set ns = namespace(s=['a']) %}{% for i in range(60) %}{% set ns.s = [ns.s, ns.s] %}{% endfor %}{{ ns.s | tojson }}",
+        "{% set ns = namespace(n=3) %}{% for i in range(60) %}{% set ns.n = ns.n * ns.n %}{% endfor %}",
+        "{% for a in range(5000) %}{% for b in range(5000) %}{% for c in range(5000) %}{% endfor %}{% endfor %}{% endfor %}",
+        "{% set a = 'a' * 900000 %}{{ a | replace('a', a) }}", "{% set a = 'a' * 900000 %}{{ a.replace('a', a) }}", "{{ ['a' * 900000, 'b' * 900000] | join }}",
+        "{% set a = 'a' * 900000 %}{% for i in range(9) %}{{ a }}{% endfor %}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}",
+    ],
+)
+def test_sandbox_bounds(bad):
+    with pytest.raises(C.TemplateError):
+        C.Template(bad).render([{"role": "user", "text": "hi"}])
+
+
+def test_bounds_grow_with_the_conversation():
+    long = [{"role": "user", "text": "x" * 3_000_000}] * 3 + [{"role": "assistant", "text": "y"}] * 3000
+    text, spans = C.compiled(C.CHATML).render(long)
+    assert len(text) > 9_000_000 and len(spans) == 3000
+    with pytest.raises(C.TemplateError):
+        C.Template("{% for i in range(100) %}{{ messages[0].text }}{% endfor %}").render([{"role": "user", "text": "x" * 100_000}])
+
+
 def test_generation_marks():
     text, spans = C.compiled(C.CHATML).render([{"role": "user", "text": "hé"}, {"role": "assistant", "text": "yo"}])
     assert text == "<|im_start|>user\nhé<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
