@@ -1,11 +1,15 @@
 """Operator 7: text of HTML pages by a recurrent block labeller.
 
 A page is read into its sequence of leaf blocks: runs of text between block-level tags, with
-the path of open tags (and their class and id words). Each leaf becomes a vector of hashed
-path parts, hashed words and a few counts. A bidirectional LSTM, in numpy, reads the whole
-sequence both ways, so that every block is labelled with the document around it in view:
-content, heading or boilerplate. Pages are run many at a time, one step of the sequence for
-all of them, shorter ones dropping out as they end.
+the path of all open tags (and their class and id words). Each leaf becomes a vector of hashed
+path parts, the nearer ones with more weight, hashed words and a few counts. A bidirectional
+LSTM, in numpy, reads the whole sequence both ways, so that every block is labelled with the
+document around it in view: content, heading or boilerplate. Pages are run many at a time, one
+step of the sequence for all of them, shorter ones dropping out as they end.
+
+Reading takes time in proportion to the page, however broken it is: quoted attributes may hold
+any sign, a tag without an end is text, an element that may not hold the next one is closed by
+it, and a closing tag closes the nearest open element of its name or nothing.
 
 The model is trained here, by back-propagation through time, on ``PAGES`` labelled pages
 that ``labelled_pages`` makes (the bound of the training sample): nested layouts, menus,
@@ -13,7 +17,8 @@ advertisements, footers and broken mark-up around articles.
 
 Defined results: one row for each row of pages; a null or empty page, or one without text,
 has no blocks and an empty text; offsets are code points of the source, from the first to
-the last character of the block's text; scripts, styles and comments are no blocks.
+the last character of the block's text; scripts, styles and comments are no blocks; of labels
+with equal scores the first of ``LABELS`` is taken.
 """
 
 from __future__ import annotations
@@ -31,23 +36,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import _base as B
+from tessera.llm._text import chunks
 
 LABELS = ("boilerplate", "content", "heading")
 PAGES, EPOCHS, HIDDEN = 400, 8, 24
 PATH_DIM, WORD_DIM, EXTRA = 48, 24, 8
 DIM = PATH_DIM + WORD_DIM + EXTRA
-PAGES_AT_ONCE = 1000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+#: Weight of an open tag against the one inside it.
+FADE = 0.75
+#: Characters of the pages that are labelled together, about.
+CHARS_AT_ONCE = 4_000_000
 WORD = re.compile(r"\w+")
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
+#: Elements that may be left open, and the tags that close them: by default only their own.
+ENDS = {"p": frozenset("p address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())}
+ENDS |= {t: frozenset((t,)) for t in ("li", "tr", "option")} | {t: frozenset(("dt", "dd")) for t in ("dt", "dd")} | {t: frozenset(("td", "th", "tr")) for t in ("td", "th")}
+RAW = frozenset("script style noscript template svg".split())
+NAME = re.compile(r"/?[a-zA-Z][\w:-]*")
+VALUE = re.compile(r"[>\"']")
+
+
+class Tags:
+    """Reads a page tag by tag; what isn't there any more is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone, self.quotes = page, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        """The place of what from at on, or -1."""
+        if what in self.gone:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.gone.add(what)
+        return k
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at at, or -1."""
+        k = at
+        while self.quotes:
+            m = VALUE.search(self.page, k)
+            if not m:
+                break
+            if m.group() == ">":
+                return m.start()
+            k = m.end()
+            before = m.start() - 1
+            while before > at and self.page[before].isspace():
+                before -= 1
+            if self.page[before] == "=":
+                close = self.find(m.group(), k)
+                k = k if close < 0 else close + 1
+        self.quotes = False  # every > from here on stands between quotes
+        return self.find(">", at)
+
+    def raw(self, name: str, at: int) -> int:
+        """Where the text of a script or the like ends: after its closing tag, or at the end."""
+        key = "</" + name
+        if key in self.gone:
+            return len(self.page)
+        m = re.compile(key + r"\b[^>]*>", re.I).search(self.page, at)
+        if not m:
+            self.gone.add(key)
+            return len(self.page)
+        return m.end()
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str]]:
+        """(start, stop, tag or "", attributes): tags, closing ones with a slash, and text."""
+        page, at, n = self.page, 0, len(self.page)
+        text = 0
+        while at < n:
+            lt = self.find("<", at)
+            if lt < 0:
+                break
+            stop, tag, rest = lt + 1, "", ""
+            if page.startswith("<!--", lt):
+                stop = self.find("-->", lt + 4)
+                stop = n if stop < 0 else stop + 3
+                tag = "!"
+            elif page.startswith(("<!", "<?"), lt):
+                if (stop := self.find(">", lt)) < 0:
+                    break
+                stop, tag = stop + 1, "!"
+            elif m := NAME.match(page, lt + 1):
+                if (k := self.end(m.end())) >= 0:
+                    stop, tag, rest = k + 1, m.group().lower(), page[m.end() : k]
+                    if tag in RAW and not rest.endswith("/"):
+                        stop, tag = self.raw(tag, stop), "!"
+            if tag:
+                if lt > text:
+                    yield text, lt, "", ""
+                yield lt, stop, tag, rest
+                text = stop
+            at = stop
+        if text < n:
+            yield text, n, "", ""
+
+
+class Open:
+    """The open elements; finding, closing and hashing them takes constant time on the whole."""
+
+    def __init__(self) -> None:
+        self.stack: list[list] = []  # tag, names, path vector or None
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, names: list[str]) -> None:
+        if self.blocks and tag in ENDS.get(self.stack[self.blocks[-1]][0], ()):
+            self.cut(self.blocks[-1])
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append([tag, names, None])
+
+    def cut(self, to: int) -> None:
+        for tag, _, _ in self.stack[to:]:
+            self.at[tag].pop()
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
+        del self.stack[to:]
+
+    def close(self, tag: str) -> None:
+        if self.at.get(tag):
+            self.cut(self.at[tag][-1])
+
+    def path(self) -> np.ndarray:
+        """Hashed parts of the whole path."""
+        if not self.stack:
+            return np.zeros(PATH_DIM, np.float32)
+        k = len(self.stack) - 1
+        while k > 0 and self.stack[k - 1][2] is None:
+            k -= 1
+        for i in range(k, len(self.stack)):
+            tag, names, have = self.stack[i]
+            if have is None:
+                v = self.stack[i - 1][2] * np.float32(FADE) if i else np.zeros(PATH_DIM, np.float32)
+                for x in (tag, *names):
+                    v[bucket(x, PATH_DIM)] += 1
+                self.stack[i][2] = v
+        v = self.stack[-1][2].copy()
+        v[bucket("/" + self.stack[-1][0], PATH_DIM)] += 1
+        return v
 
 
 @dataclass
 class Leaf:
-    path: tuple[str, ...]
+    path: np.ndarray
     text: str
     start: int
     stop: int
@@ -58,10 +194,10 @@ class Leaf:
 def leaves(page: str) -> list[Leaf]:
     """The blocks of a page, in order."""
     out: list[Leaf] = []
-    stack: list[tuple[str, str]] = []
+    opened = Open()
     parts: list[str] = []
-    start = stop = links = chars = 0
-    path: tuple[str, ...] = ()
+    start = stop = links = 0
+    path = opened.path()
     in_link = 0
 
     def flush() -> None:
@@ -72,24 +208,24 @@ def leaves(page: str) -> list[Leaf]:
                 out.append(Leaf(path, text, start, stop, links, bool(in_link)))
         parts, links = [], 0
 
-    for m in TOKEN.finditer(page):
-        name = m.group(3)
-        if name is None:
-            t = m.group()
-            if m.group(1) is not None or t.startswith("<!") or t.startswith("<?"):
-                continue
-            if t.isspace() and not parts:
+    for begin, end, tag, rest in Tags(page):
+        if tag == "!":
+            continue
+        if not tag:
+            t = page[begin:end]
+            blank = t.isspace()
+            if blank and not parts:
                 continue
             if not parts:
-                start = m.start() + len(t) - len(t.lstrip())
-                path = tuple(x for tag in stack[-8:] for x in (tag[0], *tag[1].split()[:3]))
+                start = begin + len(t) - len(t.lstrip())
+                path = opened.path()
             parts.append(t)
-            if not t.isspace():
-                stop = m.start() + len(t.rstrip())
+            if not blank:
+                stop = begin + len(t.rstrip())
             if in_link:
                 links += len(t)
             continue
-        tag, closing = name.lower(), bool(m.group(2))
+        closing, tag = tag[0] == "/", tag.lstrip("/")
         if tag not in INLINE:
             flush()
             if tag == "br":
@@ -97,17 +233,10 @@ def leaves(page: str) -> list[Leaf]:
         if tag == "a":
             in_link = max(0, in_link - 1) if closing else in_link + 1
         if closing:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag not in VOID and not m.group(4).rstrip().endswith("/"):
-            if tag in CLOSED_BY_SAME and stack and stack[-1][0] == tag:
-                stack.pop()
-            named = " ".join(x for g in NAMED.findall(m.group(4)) for x in WORD.findall(" ".join(g).lower()))
-            if tag == "a":
-                named = ""
-            stack.append((tag, named))
+            opened.close(tag)
+        elif tag not in VOID and not rest.endswith("/"):
+            names = [] if tag == "a" else [x for g in NAMED.findall(rest) for x in WORD.findall(" ".join(g).lower())]
+            opened.push(tag, names)
     flush()
     return out
 
@@ -122,10 +251,7 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
     x = np.zeros((len(blocks), DIM), np.float32)
     for i, b in enumerate(blocks):
         row = x[i]
-        for k, tag in enumerate(reversed(b.path)):
-            row[bucket(tag, PATH_DIM)] += 1.0 if k < 2 else 0.5
-        if b.path:
-            row[bucket("/" + b.path[-1], PATH_DIM)] += 1.0
+        row[:PATH_DIM] = b.path
         words = b.text.lower().split()
         w = PATH_DIM + np.fromiter((bucket(t, WORD_DIM) for t in words), np.int64, len(words))
         np.add.at(row, w, 1.0 / len(words))
@@ -281,17 +407,20 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> Iterator[tuple[str, list[tu
 
         def paragraph() -> str:
             text = mark(" ".join(sentence() for _ in range(r.choice((1, 1, 2, 3, 5)))), 1)
-            return r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<li>{}</li>", "<td>{}</td>", "<pre>{}</pre>")).format(text)
+            return r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", r.choice(("<p><b>{}", "<p><i>{}<br>", "<p><em>{}</em><br/>", "<p><span>{}", "<p><strong>{}<br>", "<p title='a > b'>{}")), "<div>{}</div>", "<blockquote>{}</blockquote>", "<li>{}</li>", "<td>{}</td>", "<pre>{}</pre>")).format(text)
 
         title = words(2, 8) + r.choice(("", "."))
-        head = f"<!DOCTYPE html><html><head><title>{mark(title, 0)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>"
+        style = f"<style>.{word()} {{ {word()}: {r.randint(0, 99)}px }}</style>" if r.random() < 0.5 else ""
+        script = f"<script>{word()}('<{word()}>', {r.randint(0, 9)} > {r.randint(0, 9)})</script>" if r.random() < 0.6 else ""
+        meta = f"<meta name={word()} content='{words(1, 4)}'>" if r.random() < 0.5 else ""
+        head = f"{r.choice(('<!DOCTYPE html>', ''))}<html lang=\"{word()[:2]}\"><head>{meta}<title>{mark(title, 0)}</title>{style}{script}</head><body>"
         body = []
         if r.random() < 0.9:
             body.append(menu())
         if r.random() < 0.15:
             body.append(f"<header><p>{mark(words(1, 5), 0)}</p></header>")
         for _ in range(r.choice((0, 1, 1, 1, 2))):
-            body.append(r.choice(("<!-- ad -->", "")) + advert())
+            body.append(r.choice((f"<!-- {words(1, 3)} -->", "")) + advert())
         opening = r.choice(("<article>", "<article>", "<main>", '<div class="content">', '<div id="post"><div class="entry">', "<section>", "<body>"))
         inner = []
         if r.random() < 0.92:
@@ -335,14 +464,13 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", html_col
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("label", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, PAGES_AT_ONCE):
-                b = whole.slice(at, PAGES_AT_ONCE)
-                found = [leaves(t or "") for t in b.column(1).to_pylist()]
+        for b in batches:
+            for at, part in chunks([t or "" for t in b.column(1).to_pylist()], CHARS_AT_ONCE):
+                found = [leaves(t) for t in part]
                 labels = model.label([vectors(f) for f in found])
                 text = ["\n".join(x.text for x, y in zip(f, ys) if y) for f, ys in zip(found, labels)]
                 blocks = [[{"start": x.start, "stop": x.stop, "label": LABELS[y]} for x, y in zip(f, ys)] for f, ys in zip(found, labels)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(blocks, kind)], names=["page_id", "text", "blocks"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(text, pa.string()), pa.array(blocks, kind)], names=["page_id", "text", "blocks"])
 
     return src.mapInArrow(run, f"page_id {src.schema['id'].dataType.simpleString()}, text string, blocks array<struct<start:int,stop:int,label:string>>")
 

@@ -169,6 +169,40 @@ def test_gradients_against_differences():
     assert H_old == H.HIDDEN
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 200_000, "<a x='" * 100_000, "<a x='>' " * 50_000, "<div>" * 100_000 + "x", "<div>" * 50_000 + "</q>" * 50_000, "<!--" * 200_000, "<script>" * 50_000, "<" * 200_000,
+        "<p><div>" + "<b>" * 50_000 + "<p>x</p>" * 20_000, "</script" * 50_000 + "<script>" * 50_000, "&amp" * 100_000,
+    ],
+)
+def test_broken_pages_take_linear_time(page):
+    from time import process_time
+
+    took = []
+    for p in (page[: len(page) // 4], page):
+        at = process_time()
+        H.vectors(H.leaves(p))
+        took.append(process_time() - at)
+    assert took[1] < 12 and took[1] < 10 * took[0] + 0.5
+
+
+def test_reading():
+    read = lambda page: [(x.text, page[x.start : x.stop]) for x in H.leaves(page)]
+    assert read('<p title="a > b">hello') == [("hello", "hello")]
+    assert read("<p class=x>one<b>two<p>three &lt;</p>four<br>5") == [("onetwo", "one<b>two"), ("three <", "three &lt;"), ("four", "four"), ("5", "5")]
+    assert read("<!-- <p>no</p> -->a<script>if (a < b) '</p>'</script>b <! x> 1 < 2") == [("ab 1 < 2", "a<script>if (a < b) '</p>'</script>b <! x> 1 < 2")]
+    assert read("a <b x='1") == [("a <b x='1", "a <b x='1")] and read("<style>p") == [] and read("</p></p>") == []
+
+
+def test_the_whole_path_counts():
+    deep = "<div>" * 30 + "<p>x"
+    a, b = (H.vectors(H.leaves(f"<{t}>{deep}"))[0] for t in ("article", "footer"))
+    assert np.abs(a - b).max() > 0
+    one, two = H.leaves("<article><p><b>a<p><b>b</article>c")[1:]
+    assert one.text == "b" and not two.path.any()
+
+
 def test_batches_do_not_change_labels():
     model, pages = H.default_labeller(), [x for x, _ in H.examples(40, 55)]
     one = [model.label([p])[0] for p in pages]
