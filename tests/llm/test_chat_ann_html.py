@@ -106,28 +106,36 @@ def test_neighbours_against_sql(spark):
     assert got == oracle("embeddings", A.OP5_SQL)
 
 
-def test_neighbours_over_many_tiles(spark):
+@pytest.mark.parametrize("name", ["long", "string"])
+def test_neighbours_over_many_tiles(spark, monkeypatch, name):
+    monkeypatch.setattr(A, "STRIP", 17)
+    monkeypatch.setattr(A, "COLUMNS", 23)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     x[50:60] = x[0]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x[70] *= 1000
+    key = (lambda i: i) if name == "long" else (lambda i: f"v{i:03}")
+    df = spark.createDataFrame([(key(i), v.tolist()) for i, v in enumerate(x)], f"vec_id {name}, embedding array<float>")
     got = {}
-    for r in A.neighbours(df, k=5, block=70).collect():
+    for r in A.neighbours(df, k=5, blocks=4).collect():
         got.setdefault(r.vec_id, {})[r["rank"]] = r.neighbour_id
     d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     for i in range(300):
         want = sorted(range(300), key=lambda j: (d[i, j], j))[:5]
-        assert [got[i][k] for k in range(1, 6)] == want
+        assert [got[key(i)][k] for k in range(1, 6)] == [key(j) for j in want]
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(5)
-    a, b = rng.normal(size=(40, 33)) * 10 ** rng.uniform(-3, 3, (40, 1)), rng.normal(size=(50, 33))
-    a, b = a.astype(np.float32), b.astype(np.float32)
-    est, err = A.bounds(A.Quantised(a), A.Quantised(b))
-    true = ((a[:, None].astype(float) - b[None].astype(float)) ** 2).sum(2)
-    assert (np.abs(est - true) <= err * (1 + 1e-6)).all()
+    for dim in (33, A.EXACT_DIM + 50):
+        a, b = rng.normal(size=(40, dim)) * 10 ** rng.uniform(-3, 3, (40, 1)), rng.normal(size=(50, dim))
+        a, b = a.astype(np.float32), b.astype(np.float32)
+        qa, qb = A.Quantised(a), A.Quantised(b)
+        est, err = A.bounds(qa, qb)
+        true = ((a[:, None].astype(float) - b[None].astype(float)) ** 2).sum(2)
+        assert (np.abs(est + (qa.norm**2)[:, None] - true) <= err[:, None] * (1 + 1e-6)).all()
+        assert (qa.q @ qb.q.T == (qa.q.astype(object) @ qb.q.T.astype(object)).astype(float)).all()
 
 
 def test_neighbour_edge_cases(spark):
