@@ -8,9 +8,10 @@ clockwise to the next point whose shard is not.
 Keys are served in a fixed order: by bucket (a hash of the key, ``BUCKETS`` values), then
 by arc (the point they fall before), then by another hash. So only the number of keys of
 each cell, arc by bucket, is needed to serve all keys exactly: at most
-shards * VNODES * BUCKETS numbers, whatever the size of the data, go to the driver, and the
-resulting table of cells is of that size too. The keys of the few cells in which a shard
-becomes full are ranked to tell which of them still go there.
+shards * VNODES * BUCKETS numbers, whatever the size of the data, go to the driver. The
+resulting table of cells is of that size too, so it is broadcast and each row finds its shard
+where it lies, without a join on ids. In the few cells in which a shard becomes full, keys are
+ranked by another hash, and the table has the last key of each shard there.
 
 Defined results: a key is an id, rows that share it share its shard, and null is a key
 like any other; an empty table gives an empty result.
@@ -33,8 +34,8 @@ SHARDS = 64
 VNODES = 128
 BUCKETS = 32
 SLACK = 0.05
-#: Cells that the driver holds at most.
-CELLS = 4_000_000
+#: Cells that the driver holds at most; their table, at 100 bytes each, is broadcast.
+CELLS = B.BROADCAST_BYTES // 100
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,42 +85,49 @@ def cell_of(key: Column, positions: np.ndarray, buckets: int) -> Column:
     return arc(F.xxhash64(key, F.lit(31))) * buckets + F.pmod(F.xxhash64(key, F.lit(32)), F.lit(buckets))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, buckets: int = BUCKETS, slack: float = SLACK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keys with their cells, shard of each cell that has one, shard of each other key)."""
+def assign(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, buckets: int = BUCKETS, slack: float = SLACK) -> tuple[Column, DataFrame]:
+    """(cell of a row of docs, (of, parts) with the shards of each cell, to be broadcast).
+
+    parts: (turn, shard, h, id), in order; h and id are those of the last key of a shard, null
+    for the shard that takes the rest of the cell."""
     if shards * vnodes * buckets > CELLS:
         raise ValueError(f"shards * vnodes * buckets is over {CELLS}")
     positions, owner = ring(shards, vnodes)
-    keys = B.narrow(docs, id=id_col).distinct()
-    keys = B.cut(keys.withColumn("cell", cell_of(F.col("id"), positions, buckets)))
-    sizes = keys.groupBy("cell").count().toPandas()
+    ids = B.narrow(docs, id=id_col)
+    cell = cell_of(F.col("id"), positions, buckets)
+    sizes = ids.distinct().select(cell.alias("cell")).groupBy("cell").count().toPandas()
     counts = {(int(c) // buckets, int(c) % buckets): int(n) for c, n in zip(sizes["cell"], sizes["count"])}
     cap = math.ceil((1 + slack) * sum(counts.values()) / shards)
     parts = pd.DataFrame(serve(counts, owner, shards, cap), columns=["arc", "bucket", "shard", "lo", "hi"])
-    parts["cell"] = parts["arc"] * buckets + parts["bucket"]
-    split = parts["cell"].duplicated(keep=False)
+    parts["of"] = parts["arc"] * buckets + parts["bucket"]
+    parts["last"] = ~parts["of"].duplicated(keep="last")
     spark = docs.sparkSession
-    whole = spark.createDataFrame(parts.loc[~split, ["cell", "shard"]].astype("int64"), "cell bigint, shard bigint")
-    torn = spark.createDataFrame(parts.loc[split, ["cell", "shard", "lo", "hi"]].astype("int64"), "cell bigint, shard bigint, lo bigint, hi bigint")
-    few = keys.join(F.broadcast(torn.select("cell").distinct()), "cell", "left_semi")
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(33)), "id")))
-    rest = ranked.join(F.broadcast(torn), "cell").where("rank between lo and hi").select("id", F.col("shard").cast("int").alias("shard"))
-    return keys, whole.select("cell", F.col("shard").cast("int").alias("shard")), rest
+    table = spark.createDataFrame(parts[["of", "shard", "hi"]].astype("int64").assign(last=parts["last"]), "of bigint, shard bigint, hi bigint, last boolean")
+    torn = spark.createDataFrame(parts.loc[~parts["last"], ["of"]].astype("int64").drop_duplicates(), "of bigint")
+    few = ids.withColumn("cell", cell).join(F.broadcast(torn), F.col("cell") == F.col("of"), "left_semi").distinct()
+    order = few.withColumn("h", F.xxhash64("id", F.lit(33)))
+    ranked = order.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "id")))
+    ends = ranked.join(F.broadcast(table.where("not last")), (F.col("cell") == F.col("of")) & (F.col("rank") == F.col("hi"))).select("of", "hi", "h", "id")
+    both = table.join(F.broadcast(B.cut(ends)), ["of", "hi"], "left")
+    turns = F.sort_array(F.collect_list(F.struct(F.col("hi").alias("turn"), F.col("shard").cast("int").alias("shard"), "h", "id")))
+    return cell_of(docs[B.q(id_col)], positions, buckets), B.cut(both.groupBy("of").agg(turns.alias("parts")))
 
 
-def shard_keys(docs: DataFrame, id_col: str = "doc_id", **ring_options: object) -> DataFrame:
-    """(doc_id, shard), one row for each key."""
-    keys, whole, rest = assign(docs, id_col, **ring_options)
-    easy = keys.join(F.broadcast(whole), "cell").select(F.col("id").alias("doc_id"), "shard")
-    return easy.unionByName(rest.withColumnRenamed("id", "doc_id"))
+def shard_rows(docs: DataFrame, id_col: str = "doc_id", shard_col: str = "shard", **ring_options: object) -> DataFrame:
+    """docs with the shard of each row; docs are not shuffled for it."""
+    cell, table = assign(docs, id_col, **ring_options)
+    at, of, parts, sh = (B.fresh(n, docs) for n in ("__cell", "__of", "__parts", shard_col))
+    key = docs[B.q(id_col)]
+    h = F.xxhash64(key, F.lit(33))
+    met = docs.withColumn(at, cell).join(F.broadcast(table.toDF(of, parts)), F.col(at) == F.col(of))
+    mine = F.filter(parts, lambda p: p["h"].isNull() | (h < p["h"]) | ((h == p["h"]) & (key.isNull() | (key <= p["id"]))))
+    return met.withColumn(sh, F.element_at(mine, 1)["shard"]).drop(at, of, parts)
 
 
-def shard_rows(docs: DataFrame, id_col: str = "doc_id", shard_col: str = "shard", **ring_options: object) -> DataFrame:
-    """docs with the shard of each row; the texts are not shuffled for it."""
-    keys, _, _ = made = assign(docs, id_col, **ring_options)
-    easy = keys.join(F.broadcast(made[1]), "cell").select("id", "shard")
-    own, sh = B.fresh("__id", docs), B.fresh(shard_col, docs)
-    every = B.sized(B.cut(easy.unionByName(made[2])).toDF(own, sh))
-    return docs.join(every, docs[B.q(id_col)].eqNullSafe(every[own])).drop(own)
+def shard_keys(docs: DataFrame, id_col: str = "doc_id", **ring_options: object) -> DataFrame:
+    """(doc_id, shard), one row for each key."""
+    keys = B.narrow(docs, doc_id=id_col).distinct()
+    return shard_rows(keys, "doc_id", **ring_options)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
