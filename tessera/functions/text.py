@@ -51,32 +51,46 @@ def phrase_at(toks: Column, terms: list[str]) -> Column:
     return let(toks, found)
 
 
-def phrase_near(toks: Column, terms: list[str], slop: int, in_order: bool) -> Column:
-    """Whether a chain of the terms exists from some place of the first one.
+def places(tk: Column, t: str) -> Column:
+    """Where a term stands among tokens."""
+    return F.filter(F.transform(tk, lambda x, i: F.when(x == t, i).otherwise(F.lit(-1))), lambda i: i >= 0)
+
+
+def phrase_places(at: Callable[[str], Column], terms: list[str]) -> Column:
+    """Whether the terms stand next to each other, in order; at gives the places of a term."""
+
+    def follows(p: Column) -> Column:
+        out = F.lit(True)
+        for k, t in enumerate(terms[1:], 1):
+            out = out & F.array_contains(at(t), p + k)
+        return out
+
+    return F.exists(at(terms[0]), follows)
+
+
+def phrase_near(at: Callable[[str], Column], terms: list[str], slop: int, in_order: bool) -> Column:
+    """Whether a chain of the terms exists from some place of the first one; at gives the
+    places of a term.
 
     The chain is greedy: each term takes its earliest place that is near enough to the one
     before; forward only if the order counts (or slop is 0), else either way."""
 
-    def places(tk: Column, t: str) -> Column:
-        at = F.transform(tk, lambda x, i: F.when(x == t, i).otherwise(F.lit(-1)))
-        return F.filter(at, lambda i: i >= 0)
-
     def near(prev: Column, p: Column) -> Column:
         if in_order or slop == 0:
             return (p > prev) & (p - prev - 1 <= slop)
         return (p != prev) & (F.abs(p - prev) - 1 <= slop)
 
-    def step(tk: Column, ends: Column, left: list[str]) -> Column:
+    def step(ends: Column, left: list[str]) -> Column:
         if not left:
             return F.size(ends) > 0
 
         def on(there: Column) -> Column:
             nxt = F.transform(ends, lambda prev: F.coalesce(F.array_min(F.filter(there, partial(near, prev))), F.lit(-1)))
-            return let(F.filter(nxt, lambda p: p >= 0), lambda e: step(tk, e, left[1:]))
+            return let(F.filter(nxt, lambda p: p >= 0), lambda e: step(e, left[1:]))
 
-        return let(places(tk, left[0]), on)
+        return let(at(left[0]), on)
 
-    return let(toks, lambda tk: let(places(tk, terms[0]), lambda ends: step(tk, ends, terms[1:])))
+    return let(at(terms[0]), lambda ends: step(ends, terms[1:]))
 
 
 _ODD = {

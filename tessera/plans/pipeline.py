@@ -147,7 +147,8 @@ def run_aggregate(index: Index, query: str, words: Sequence[str] | Pipeline) ->
     clauses play no part here."""
     pipeline = words if isinstance(words, Pipeline) else parse_pipeline(words)
     comp = Compiler(index, Options(), {})
-    df = index.docs.where(comp.test(simplify(parse_query(query).root)))
+    rows = comp.rows(simplify(parse_query(query).root))
+    df = rows.select(*[F.col(f"`{c}`") for c in index.docs.columns])
     for s in pipeline.stages:
         df = run_stage(df, s)
     return df

@@ -1,17 +1,20 @@
 """Search: a query tree becomes one boolean column and, if asked for, one score column.
 
-Every leaf is resolved against the index definition before any job runs. The predicate is
-an ordinary column over the document frame, so ranges, tags and latitude bands reach the
-scan. Only two things look at data beforehand, each with one aggregation: the vocabulary
-words that a prefix, fuzzy or stemmed term stands for (terms with few plain matches), and
-the document counts of scored terms.
+Every leaf is resolved against the index definition before any job runs. The predicate is an
+ordinary column over the source's own columns, so numeric ranges and string tags reach the scan
+(points and shapes are parsed from text and do not). Text leaves are answered from the stored
+lists of an index, joined by document, or without such lists from the tokens of the rows that
+are left. A negated range of a whole number is evaluated after the scan, as its null check is on a
+cast. Two things look at data beforehand: the vocabulary words that a prefix, fuzzy or
+stemmed term stands for, and the document counts of scored terms.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +27,8 @@ from tessera.plans.query import Node, Query, QueryError, Term, parse_query, plai
 from tessera.spec import Field, Index, SchemaError
 
 K1, B = 1.2, 0.75
+#: The largest finite number.
+MOST = sys.float_info.max
 MIN_PREFIX = 2
 
 
@@ -53,12 +58,16 @@ class Options:
 
 def vocabulary(index: Index, name: str) -> DataFrame:
     """(term, df): every word of a text field with its number of documents."""
+    if index.text:
+        return index.text.terms(name).select("term", "df")
     toks = F.array_distinct(text.tokens(F.col(f"`{name}`")))
     return index.docs.select(F.explode(toks).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def postings(index: Index, name: str) -> DataFrame:
     """(term, doc_id, tf, positions): the inverted lists of a text field."""
+    if index.text:
+        return index.text.lists(name, prefixes=("",)).select("term", "doc_id", "tf", "positions")
     at = index.docs.select("doc_id", F.posexplode(text.tokens(F.col(f"`{name}`"))).alias("pos", "term"))
     return at.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
@@ -68,6 +77,7 @@ class Compiler:
 
     def __init__(self, index: Index, options: Options, params: Mapping[str, object]):
         self.index, self.options, self.params = index, options, params
+        self.asked: dict[str, tuple[set[str], set[str]]] = {}  # terms and prefixes by field
 
     # leaves
 
@@ -105,7 +115,7 @@ class Compiler:
                 found += [w for g in self.index.synonyms.values() if term.text in g for w in g if w != term.text]
             if self.options.phonetic:
                 code = text.sound(term.text)[0]
-                found += [w for w in self._words(f, F.lit(True)) if w != term.text and text.sound(w)[0] == code]
+                found += [w for w in self._words(f, text.sound_udf("term")["p"] == code) if w != term.text]
         self.index.stats[key] = found
         return found
 
@@ -120,6 +130,40 @@ class Compiler:
 
     # predicates
 
+    def rows(self, root: Node) -> DataFrame:
+        """The documents that match, with what scores need of the stored lists."""
+        index, test = self.index, self.passes(root)
+        base = index.docs if index.scan is None else index.scan
+        for name, (terms, prefixes) in self.asked.items():
+            base = base.join(index.text.hits(name, sorted(terms), sorted(prefixes), f"__hit_{name}", f"__size_{name}"), "doc_id", "left")
+        return index.guarded(base.where(test))
+
+    def passes(self, n: Node) -> Column:
+        """The predicate of a tree where it chooses rows; null stands for false."""
+        if n.kind in ("AND", "OR"):
+            cols = [self.passes(c) for c in n.children]
+            out = cols[0]
+            for c in cols[1:]:
+                out = out & c if n.kind == "AND" else out | c
+            return out
+        if n.kind == "NOT":
+            return self.fails(n.children[0])
+        return self.test(n) if n.kind in ("ALL", "MAYBE") else self.leaf(n)
+
+    def fails(self, n: Node) -> Column:
+        """Where a tree does not hold, missing fields included, in terms that scans understand."""
+        if n.kind == "NOT":
+            return self.passes(n.children[0])
+        if n.kind in ("AND", "OR"):
+            cols = [self.fails(c) for c in n.children]
+            out = cols[0]
+            for c in cols[1:]:
+                out = out | c if n.kind == "AND" else out & c
+            return out
+        if n.kind == "NUMERIC" or n.kind == "TAG" and not isinstance(self.index.docs.schema[n.field].dataType, T.ArrayType):
+            return ~self.leaf(n) | F.col(f"`{n.field}`").isNull()
+        return ~self.test(n)
+
     def test(self, n: Node) -> Column:
         """The predicate of a tree; never null."""
         if n.kind in ("ALL", "MAYBE"):
@@ -144,13 +188,15 @@ class Compiler:
                 return F.arrays_overlap(c, F.array(*map(F.lit, n.values)))
             return c.isin(*n.values)
         if n.kind == "NUMERIC":
-            c, out = F.col(f"`{spec.field(n.field, 'NUMERIC').name}`"), None
-            for v, test in ((n.low, c > n.low if n.open_low else c >= n.low), (n.high, c < n.high if n.open_high else c <= n.high)):
-                if not math.isinf(v):
-                    out = test if out is None else out & test
-                elif v == (math.inf if v == n.low else -math.inf):
-                    return F.lit(False)
-            return c.isNotNull() if out is None else out
+            c = F.col(f"`{spec.field(n.field, 'NUMERIC').name}`")
+            if n.low == math.inf or n.high == -math.inf:
+                return F.lit(False)
+            bounds = []  # without a bound, what is no finite number is left out
+            if not math.isinf(n.low) or n.field not in self.index.whole:
+                bounds.append(c >= -MOST if math.isinf(n.low) else c > n.low if n.open_low else c >= n.low)
+            if not math.isinf(n.high) or n.field not in self.index.whole:
+                bounds.append(c <= MOST if math.isinf(n.high) else c < n.high if n.open_high else c <= n.high)
+            return bounds[0] & bounds[1] if len(bounds) == 2 else bounds[0] if bounds else c.isNotNull()
         if n.kind == "GEO":
             lon, lat = geo.point(F.col(f"`{spec.field(n.field, 'GEO').name}`"))
             x, y, r, unit = n.circle  # type: ignore[misc]
@@ -168,24 +214,42 @@ class Compiler:
             out = out | F.coalesce(self.text_test(f, n), F.lit(False))
         return out
 
+    def need(self, f: Field, terms: Iterable[str] = (), prefixes: Iterable[str] = ()) -> Column:
+        """The column of the stored lists' terms and places in a document."""
+        own = self.asked.setdefault(f.name, (set(), set()))
+        own[0].update(terms)
+        own[1].update(prefixes)
+        return F.col(f"`__hit_{f.name}`")
+
     def text_test(self, f: Field, n: Node) -> Column:
-        toks = self.toks(f)
+        stored = self.index.text is not None
+        toks = None if stored else self.toks(f)
         if n.kind == "PHRASE":
             terms = [t.text for t in n.terms]
+            if stored:
+                hit = self.need(f, terms)
+                places = lambda t: F.try_element_at(hit, F.lit(t))["positions"]
+                if len(terms) == 1:
+                    return places(terms[0]).isNotNull()
+                if self.options.slop == 0:
+                    return text.phrase_places(places, terms)
+                return text.phrase_near(places, terms, self.options.slop, self.options.in_order)
             if len(terms) == 1:
                 return F.array_contains(toks, terms[0])
             if self.options.slop == 0:
                 return text.phrase_at(toks, terms)
-            return text.phrase_near(toks, terms, self.options.slop, self.options.in_order)
+            return text.let(toks, lambda tk: text.phrase_near(lambda t: text.places(tk, t), terms, self.options.slop, self.options.in_order))
         out = F.lit(False)
         plain: set[str] = set()
         for t in n.terms:
             if t.edits == 0 and t.prefix and len(t.text) >= MIN_PREFIX:
-                out = out | F.exists(toks, _starts_with(t.text))
+                words = F.map_keys(self.need(f, prefixes=(t.text,))) if stored else toks
+                out = out | F.exists(words, _starts_with(t.text))
             else:
                 plain |= set(self.expand(f, t))
         if plain:
-            out = F.arrays_overlap(toks, F.array(*map(F.lit, sorted(plain)))) | out
+            words = F.map_keys(self.need(f, plain)) if stored else toks
+            out = F.arrays_overlap(words, F.array(*map(F.lit, sorted(plain)))) | out
         return out
 
     # scores
@@ -231,24 +295,36 @@ class Compiler:
         any_of = F.array(*map(F.lit, rare))
         weight = F.map_from_arrays(any_of, F.array(*[F.lit(v) for v in rare.values()]))
 
-        def total(own: Column, size: Column) -> Column:
+        def part(t: Column, tf: Column, size: Column) -> Column:
             length = K1 * (1 - B + B * size / mean)
+            return F.element_at(weight, t) * tf * (K1 + 1) / (tf + length)
 
-            def part(t: Column) -> Column:
-                tf = F.size(F.filter(own, lambda x: x == t)).cast("double")
-                return F.element_at(weight, t) * tf * (K1 + 1) / (tf + length)
+        def total(parts: Column) -> Column:
+            return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
-            return F.aggregate(F.transform(F.array_distinct(own), part), F.lit(0.0), lambda a, x: a + x)
+        if self.index.text is not None:
+            hit, size = self.need(f, rare), F.col(f"`__size_{f.name}`")
+            own = F.filter(F.map_entries(hit), lambda x: F.array_contains(any_of, x["key"]))
+            return F.coalesce(total(F.transform(own, lambda x: part(x["key"], x["value"]["tf"].cast("double"), size))), F.lit(0.0))
+
+        def of_own(own: Column, size: Column) -> Column:
+            count = lambda t: F.size(F.filter(own, lambda x: x == t)).cast("double")
+            return total(F.transform(F.array_distinct(own), lambda t: part(t, count(t), size)))
 
         def of_tokens(tk: Column) -> Column:
-            return text.let(F.filter(tk, lambda x: F.array_contains(any_of, x)), lambda own: total(own, F.size(tk)))
+            return text.let(F.filter(tk, lambda x: F.array_contains(any_of, x)), lambda own: of_own(own, F.size(tk)))
 
         return F.coalesce(text.let(self.toks(f), of_tokens), F.lit(0.0))
 
     def counts(self, f: Field, terms: Sequence[str]) -> tuple[int, float, dict[str, int]]:
-        """(documents with the field, their mean length, documents of each term), one pass."""
+        """(documents with the field, their mean length, documents of each term)."""
         known: dict = self.index.stats.setdefault(("df", f.name), {})  # type: ignore[assignment]
         todo = [t for t in terms if t not in known]
+        if self.index.text is not None:
+            lists = self.index.text
+            found = {r.term: r.df for r in lists.terms(f.name).where(F.col("term").isin(*todo)).collect()} if todo else {}
+            known.update({t: found.get(t, 0) for t in todo})
+            return lists.docs[f.name], lists.mean(f.name), {t: known[t] for t in terms}
         if todo or "n" not in known:
             docs = self.index.docs.where(F.col(f"`{f.name}`").isNotNull())
             if "n" not in known:
@@ -282,7 +358,8 @@ def search(index: Index, query: str | Query, *, params: Mapping[str, object] | N
     params = params or {}
     comp = Compiler(index, opts, params)
     root = parsed.root if with_scores else simplify(parsed.root)
-    docs = index.docs.where(comp.test(root))
+    score = comp.score(root) if with_scores and not parsed.knn else None  # before rows(), which reads all that is asked for
+    docs = comp.rows(root)
     if parsed.knn:
         if parsed.knn.param not in params:
             raise QueryError(f"no parameter {parsed.knn.param!r}")
@@ -291,7 +368,7 @@ def search(index: Index, query: str | Query, *, params: Mapping[str, object] | N
     else:
         rows, order = docs, [F.col("doc_id")]
         if with_scores:
-            rows = rows.withColumn("__search_score", comp.score(root))
+            rows = rows.withColumn("__search_score", score)
             order = [F.desc("__search_score"), F.col("doc_id")]
         if geofilter:
             name, lon, lat, radius, unit = geofilter

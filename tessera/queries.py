@@ -7,7 +7,6 @@ their sums go in another order there.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from tessera.plans.pipeline import Cursors, run_aggregate
 from tessera.plans.profile import explain_lines, profile
 from tessera.plans.search import knn, postings, search, vocabulary
 from tessera.sources import store
+from tessera.sources.folders import changed, new_folder
 from tessera.sources.tables import documents, hash_source, json_source, scan_keys, table
 from tessera.spec import Catalog, Index, Spec
 from tessera.streaming.feed import TableFeed, follow
@@ -62,7 +62,20 @@ def orders(spark: SparkSession, sf: str) -> Index:
     return index(spark, sf, "orders", "o_orderkey", ORDER)
 
 
+STORED: dict[tuple[str, str, int], Index] = {}
+
+
 def docs(spark: SparkSession, sf: str) -> Index:
+    """The documents with stored lists, which are made once a session for a table as it is."""
+    path = f"{sf}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, changed(spark, path))
+    if key not in STORED:
+        STORED[key] = Catalog(spark).create(["documents", *DOCS], table(spark, sf, "documents"), new_folder(spark))
+    return STORED[key]
+
+
+def plain_docs(spark: SparkSession, sf: str) -> Index:
+    """The documents without stored lists."""
     return index(spark, sf, "documents", "doc_id", DOCS)
 
 
@@ -905,14 +918,14 @@ def source_json(spark, sf):
 
 @query("select p_partkey as doc_id, p_brand from part where p_size > 40")
 def snapshot_restore(spark, sf):
-    root = tempfile.mkdtemp(prefix="tessera-snap-")
+    root = new_folder(spark)
     store.snapshot(part(spark, sf), root)
     return search(store.restore(Catalog(spark), root), "@p_size:[(40 inf]", fields=["p_brand"])
 
 
 @query("with c as (select user_id as doc_id, event_type, row_number() over (partition by user_id order by event_id desc) as r from events) select doc_id, event_type from c where r = 1 and event_type <> 'error'")
 def stream_upsert(spark, sf):
-    root = tempfile.mkdtemp(prefix="tessera-feed-")
+    root = new_folder(spark)
     e = table(spark, sf, "events")
     op = F.when(F.col("event_type") == "error", "delete").otherwise("write")
     rows = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), op.alias("op"), "event_type")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.lists import TextLists, write_lists
+
 TYPES = ("TAG", "NUMERIC", "TEXT", "GEO", "GEOSHAPE", "VECTOR")
 CONFIG_DEFAULTS = {"MAXEXPANSIONS": "200", "MINPREFIX": "2", "TIMEOUT": "500", "MAXSEARCHRESULTS": "1000000"}
 
@@ -151,17 +153,20 @@ def _fields(words: list[str]) -> list[Field]:
     return out
 
 
-def typed(df: DataFrame, spec: Spec) -> DataFrame:
-    """doc_id and one typed column for each field; what cannot be read is null."""
+def typed(df: DataFrame, spec: Spec, guard: bool = True) -> DataFrame:
+    """doc_id and one typed column for each field; what cannot be read is null.
+
+    Without guard, numbers that are no finite ones and vectors of another length stay: the
+    columns are then those of the source, so that predicates on them reach its scan."""
 
     def col(f: Field) -> Column:
         c, kind = F.col(f"`{f.name}`"), df.schema[f.name].dataType
         if f.type == "NUMERIC":
             d = c.try_cast("double") if isinstance(kind, T.StringType) else c.cast("double")
-            return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
+            return finite(d) if isinstance(kind, T.StringType) or guard and isinstance(kind, (T.FloatType, T.DoubleType)) else d
         if f.type == "VECTOR":
             v = c.cast("array<float>")
-            return F.when(F.size(v) == f.dim, v)
+            return F.when(F.size(v) == f.dim, v) if guard else v
         if f.type == "TAG" and isinstance(kind, T.ArrayType):
             return c.cast("array<string>")
         return c.cast("string")
@@ -170,18 +175,42 @@ def typed(df: DataFrame, spec: Spec) -> DataFrame:
     return df.select("doc_id", *[(col(f) if f.name in have else F.lit(None).cast("string")).alias(f.name) for f in spec.fields])
 
 
+def whole_numbers(df: DataFrame, spec: Spec) -> frozenset[str]:
+    """The NUMERIC fields whose type has finite numbers only."""
+    have = set(df.columns)
+    return frozenset(f.name for f in spec.of("NUMERIC") if f.name in have and isinstance(df.schema[f.name].dataType, (T.IntegralType, T.DecimalType)))
+
+
+def finite(d: Column) -> Column:
+    return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
+
+
 @dataclass
 class Index:
-    """A definition with the frame that holds its documents, keyed by doc_id."""
+    """A definition with the frame that holds its documents, keyed by doc_id.
+
+    scan has the same documents without the guards of ``typed``; whole names the numbers that
+    need none; text has stored lists."""
 
     spec: Spec
     docs: DataFrame
     synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
     stats: dict[object, object] = field(default_factory=dict)
+    scan: DataFrame | None = None
+    whole: frozenset[str] = frozenset()
+    text: TextLists | None = None
 
     def with_docs(self, docs: DataFrame) -> Index:
         return Index(self.spec, docs, self.synonyms)
 
+    def guarded(self, rows: DataFrame) -> DataFrame:
+        """Rows of scan, with whatever other columns, as documents."""
+        if self.scan is None:
+            return rows
+        numbers = {f.name: finite(F.col(f"`{f.name}`")) for f in self.spec.of("NUMERIC") if isinstance(self.scan.schema[f.name].dataType, T.DoubleType)}
+        vectors = {f.name: F.when(F.size(F.col(f"`{f.name}`")) == f.dim, F.col(f"`{f.name}`")) for f in self.spec.of("VECTOR") if isinstance(self.scan.schema[f.name].dataType, T.ArrayType)}
+        return rows.withColumns(numbers | vectors) if numbers or vectors else rows
+
 
 class Catalog:
     """Indexes and aliases of a session; every index is a temporary view too."""
@@ -199,8 +228,11 @@ class Catalog:
             raise SchemaError(f"no index {name!r}")
         return self.indexes[name]
 
-    def create(self, spec: Spec | Sequence[str], source: DataFrame | None = None) -> Index:
-        """A new index over source, a frame with doc_id; only keys with one of the prefixes."""
+    def create(self, spec: Spec | Sequence[str], source: DataFrame | None = None, store: str | None = None) -> Index:
+        """A new index over source, a frame with doc_id; only keys with one of the prefixes.
+
+        With store, a path that all machines see, the inverted lists of its text fields are
+        written there and searches read them; changed documents are searched without them."""
         spec = spec if isinstance(spec, Spec) else Spec.parse(spec)
         if spec.name in self.indexes:
             raise SchemaError(f"index {spec.name!r} exists")
@@ -209,7 +241,9 @@ class Catalog:
             source = self.spark.createDataFrame([], ", ".join(["doc_id string", *(f"`{f.name}` {kinds.get(f.type, 'string')}" for f in spec.fields)]))
         elif spec.prefixes:
             source = source.where(has_prefix(F.col("doc_id").cast("string"), spec.prefixes))
-        index = self.indexes[spec.name] = Index(spec, typed(source, spec))
+        index = self.indexes[spec.name] = Index(spec, typed(source, spec), scan=typed(source, spec, False), whole=whole_numbers(source, spec))
+        if store:
+            index.text = write_lists(index.docs, [f.name for f in spec.of("TEXT")], store)
         index.docs.createOrReplaceTempView(f"`{spec.name}`")
         return index
 
@@ -269,7 +303,7 @@ class Catalog:
         base = index.docs
         if source is not None:
             base = source.where(has_prefix(F.col("doc_id").cast("string"), spec.prefixes)) if spec.prefixes else source
-        self.indexes[spec.name] = Index(spec, typed(base, spec), index.synonyms)
+        self.indexes[spec.name] = Index(spec, typed(base, spec), index.synonyms, scan=typed(base, spec, False), whole=whole_numbers(base, spec))
         return self.indexes[spec.name]
 
     def alias(self, alias: str, name: str, update: bool = False) -> None:
