@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera.sources.folders import new_folder, remove, shared_folder
+
 #: A side of a join is broadcast only when it holds at most this many bytes.
 BROADCAST_BYTES = 64 << 20
 
@@ -39,23 +35,6 @@ def narrow(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[q(src)].alias(own) for own, src in cols.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as spark.checkpoint.dir names it. Only a session
-    on one machine may do without: it gets a folder of its own."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, folder, True)
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: written to the shared folder."""
     shared_folder(df.sparkSession)
@@ -64,16 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """(df, written as a Parquet table in the shared folder and read again, the table's path)."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def sized(df: DataFrame, row_bytes: int = 100) -> DataFrame:
     """df with a broadcast hint if its counted rows, at row_bytes in memory, are small
     enough, else as it is.
