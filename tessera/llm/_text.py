@@ -3,14 +3,16 @@ and words, numbers and sentence ends are found for all of them with array operat
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 LIMIT = 0x30000
 OTHER, LETTER, DIGIT, STOP = 0, 1, 2, 3
-CHUNK = 400_000
+CHUNK = 200_000
 U = np.uint64
 
 
@@ -121,11 +123,21 @@ class Scan:
         return first | (stops[self.s] > stops[np.maximum(prev - 1, 0)])
 
 
-def slices(batches: Iterator, rows: int = 2000) -> Iterator:
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
     """Arrow batches in parts of at most that many rows, so that few texts are held twice."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Gives memory that was freed back to the machine: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another allocator than glibc's
 
 
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:

@@ -43,7 +43,7 @@ UND = "und"
 #: Share of letters in no language from which on a document is rejected.
 REJECT = 0.5
 #: States times words that are decoded at a time, about.
-CELLS_AT_ONCE = 2_500_000
+CELLS_AT_ONCE = 1_500_000
 
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)], "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
