@@ -1,27 +1,14 @@
-"""Nearest neighbours over stored vectors: exact for one or many queries, and by cells.
-
-A cell index assigns every vector to its nearest centre; centres come from a few rounds of
-k-means over a bounded sample. A query reads only the cells whose centres are nearest, then
-ranks exactly. Cells are a column, so a table written by cell is pruned by it. The default
-number of probes is for vectors without clusters, of which a query's neighbours lie in many cells.
-"""
+"""Nearest neighbours over stored vectors, exact, for one or many queries."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vector
 
-SAMPLE, CELLS, PROBES = 20_000, 64, 48
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2", vec: str = "embedding") -> DataFrame:
     """(query_id, doc_id, distance, rank) of the k nearest for each of (query_id, q); exact.
 
@@ -32,39 +19,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2",
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-@dataclass
-class Cells:
-    """Vectors (doc_id, embedding, cell) with the centres of their cells."""
-
-    frame: DataFrame
-    centres: np.ndarray
-    metric: str
-
-    def remove(self, ids: DataFrame) -> Cells:
-        return Cells(self.frame.join(ids.select("doc_id"), "doc_id", "left_anti"), self.centres, self.metric)
-
-    def add(self, vectors: DataFrame, vec: str = "embedding") -> Cells:
-        new = with_cells(vectors, self.centres, self.metric, vec)
-        return Cells(self.remove(new).frame.unionByName(new), self.centres, self.metric)
-
-    def search(self, queries: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
-        """(query_id, doc_id, distance, rank) from the cells nearest to each query."""
-        centres, metric = self.centres, self.metric
-
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    near = np.argsort(distances(np.stack(pdf["q"]), centres, metric), axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"], near.shape[1]), "q": pdf["q"].repeat(near.shape[1]), "cell": near.ravel().astype(np.int32)})
-
-        kind = queries.schema["query_id"].dataType.simpleString()
-        asked = queries.select("query_id", F.col("q").cast("array<float>").alias("q")).mapInPandas(spread, f"query_id {kind}, q array<float>, cell int")
-        d = vector.METRICS[metric](F.col("embedding"), F.col("q"))
-        pairs = self.frame.join(asked, "cell").select("query_id", "doc_id", d.alias("distance"))
-        w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def distances(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     x, c = x.astype(np.float64), c.astype(np.float64)
     dot = x @ c.T
@@ -74,30 +28,3 @@ def distances(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
         n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
         return 1 - np.divide(dot, n, out=np.zeros_like(dot), where=n > 0)
     return (x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * dot
-
-
-def with_cells(vectors: DataFrame, centres: np.ndarray, metric: str, vec: str = "embedding") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(cell=distances(np.stack(pdf["embedding"]), centres, metric).argmin(1).astype(np.int32))
-
-    src = vectors.where(F.col(vec).isNotNull()).select("doc_id", F.col(vec).cast("array<float>").alias("embedding"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"doc_id {kind}, embedding array<float>, cell int")
-
-
-def build_cells(vectors: DataFrame, metric: str = "L2", vec: str = "embedding", cells: int = CELLS, sample: int = SAMPLE, rounds: int = 8, seed: int = 42) -> Cells:
-    """A cell index; centres are fitted on at most sample vectors, picked by hash."""
-    src = vectors.where(F.col(vec).isNotNull())
-    picked = src.orderBy(F.xxhash64("doc_id")).limit(sample).select(F.col(vec).cast("array<float>").alias("v")).toPandas()["v"]
-    if not len(picked):
-        raise ValueError("no vectors")
-    x = np.stack(picked).astype(np.float64)
-    c = x[np.random.default_rng(seed).permutation(len(x))[: min(cells, len(x))]]
-    for _ in range(rounds):
-        own = distances(x, c, metric).argmin(1)
-        sums, n = np.zeros_like(c), np.bincount(own, minlength=len(c))
-        np.add.at(sums, own, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-    return Cells(with_cells(src, c, metric, vec), c, metric)

@@ -7,6 +7,7 @@ their sums go in another order there.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import geo, json_ops, json_path, text
-from tessera.operators import neighbours, present, suggest
+from tessera.commands import Session
+from tessera.operators import graph, neighbours, present, suggest
 from tessera.operators.sketches import bloom, cms, cuckoo, digest, topk
 from tessera.plans.expr import compile_expr
 from tessera.plans.pipeline import Cursors, run_aggregate
@@ -489,19 +491,24 @@ def knn_batch(spark, sf):
     return neighbours.nearest(v, asked, 5).withColumn("distance", F.round("distance", 4))
 
 
-@query("select true as good_recall")
-def ann_cells_recall(spark, sf):
+@query("select true as good_recall, count(*) as queries from embeddings")
+def ann_graph_recall(spark, sf):
+    """Every row is a query; of the ten nearest 0.95 are found."""
     v = documents(table(spark, sf, "embeddings"), "vec_id")
-    asked = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = neighbours.build_cells(v).search(asked, 10)
-    both = neighbours.nearest(v, asked, 10).join(found, ["query_id", "doc_id"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    return both.select((F.col("n") >= 190).alias("good_recall"))
+    asked = v.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = graph.build(v).search(asked, 10)
+    hit = neighbours.nearest(v, asked, 10).join(found, ["query_id", "doc_id"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return hit.crossJoin(v.agg(F.count(F.lit(1)).alias("queries"))).select((F.col("n") >= 9.5 * F.col("queries")).alias("good_recall"), "queries")
 
 
-@query("select vec_id as doc_id from embeddings where vec_id % 3 <> 0")
-def ann_cells_remove(spark, sf):
+@query("select q.vec_id as query_id, true as found from embeddings q where q.vec_id % 3 <> 0 and q.vec_id < 60")
+def ann_graph_remove(spark, sf):
+    """After every third vector is removed, those left find themselves and none that is gone."""
     v = documents(table(spark, sf, "embeddings"), "vec_id")
-    return neighbours.build_cells(v, cells=8).remove(v.where("doc_id % 3 = 0")).frame.select("doc_id")
+    left = graph.build(v).remove(v.where("doc_id % 3 = 0"))
+    found = left.search(v.where("doc_id % 3 <> 0 and doc_id < 60").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q")), 5)
+    own = found.groupBy("query_id").agg(F.min(F.col("doc_id") % 3 != 0).alias("a"), F.max((F.col("doc_id") == F.col("query_id")) & (F.col("distance") < 1e-6)).alias("b"))
+    return own.select("query_id", (F.col("a") & F.col("b")).alias("found"))
 
 
 # JSON
@@ -961,6 +968,107 @@ def vocabulary_stems_and_sounds(spark, sf):
     return v.select("term", text.stem_udf("term").alias("stem"), text.sound_udf("term").alias("code"))
 
 
-@query("select a.doc_id, true as same from documents a where a.doc_id < 0")
-def knn_direct_no_rows(spark, sf):
-    return knn(vectors(spark, sf), "embedding", [0.0] * 64, 5).where("doc_id < 0").select("doc_id", F.lit(True).alias("same"))
+@query(f"select doc_id, round(d, 4) as score from ({_PAIR.format(d=_L2)}) where doc_id % 2 = 1 order by d, doc_id limit 5")
+def knn_direct(spark, sf):
+    i = vectors(spark, sf)
+    return knn(i, "embedding", first_vector(spark, sf), 5, i.docs.where("doc_id % 2 = 1")).select("doc_id", F.round("__vec_score", 4).alias("score"))
+
+
+_FUZZY = _bm25({"from": 1}, "").replace("q(w, m) as (values ('from', 1))", "q as (select distinct w, 1 as m from (select unnest(t) as w from tok) where levenshtein(w, 'thens') <= 1)")
+
+
+@query(_FUZZY)
+def bm25_fuzzy(spark, sf):
+    return _scored(search(docs(spark, sf), "%thens%", with_scores=True, nocontent=True))
+
+
+@query("select p_partkey as doc_id from part where list_contains(list_transform(regexp_extract_all(p_type, '[A-Za-z0-9]+'), lambda x: lower(x)), 'brass')")
+def text_infields(spark, sf):
+    i = index(spark, sf, "part", "p_partkey", "SCHEMA p_name TEXT p_type TEXT".split())
+    return search(i, "brass", nocontent=True, infields=("p_type",), verbatim=True)
+
+
+# catalogue
+
+
+@query("select p_partkey as doc_id, p_size::double as p_size from part where p_brand = 'Brand#12' and p_size >= 40")
+def catalog_alter(spark, sf):
+    cat, base = Catalog(spark), documents(table(spark, sf, "part"), "p_partkey")
+    cat.create("part SCHEMA p_brand TAG".split(), base)
+    cat.alter("part", "p_size NUMERIC".split(), base)
+    return search(cat.resolve("part"), "@p_brand:{Brand#12} @p_size:[40 inf]", fields=["p_size"])
+
+
+@query("select * from (values ('customer'), ('part')) t(name)")
+def catalog_list_after_drop(spark, sf):
+    cat = Catalog(spark)
+    for name, field in (("part", "p_brand"), ("supplier", "s_name"), ("customer", "c_mktsegment")):
+        cat.create([name, "SCHEMA", field, "TAG"], documents(table(spark, sf, name), f"{name[0]}_{'cust' if name == 'customer' else 'supp' if name == 'supplier' else 'part'}key"))
+    cat.alias("gone", "supplier")
+    cat.drop("gone")
+    return cat.list()
+
+
+@query("select count(*) as customers from customer")
+def catalog_alias_update(spark, sf):
+    cat = Catalog(spark)
+    cat.create("a SCHEMA p_brand TAG".split(), documents(table(spark, sf, "part"), "p_partkey"))
+    cat.create("b SCHEMA c_mktsegment TAG".split(), documents(table(spark, sf, "customer"), "c_custkey"))
+    cat.alias("now", "a")
+    cat.alias("now", "b", update=True)
+    return cat.info("now").select(F.col("num_docs").alias("customers"))
+
+
+# the command surface: answers as JSON, by hand from what each command is to answer
+
+
+def _said(spark: SparkSession, *commands: list[str]) -> DataFrame:
+    s = Session(spark)
+    return spark.createDataFrame([(k, json.dumps(s.execute(*c))) for k, c in enumerate(commands)], "step int, answer string")
+
+
+def _answers(*values: object) -> str:
+    rows = ", ".join(f"({k}, '{json.dumps(v)}')" for k, v in enumerate(values))
+    return f"select step::int as step, answer from (values {rows}) t(step, answer)"
+
+
+@query(_answers("OK", [1, 1, 0], {"capacity": 50, "size": 192, "filters": 1, "items": 2, "expansion": 2}, 2, [1, 1, 0], [1, 0]))
+def commands_bloom(spark, sf):
+    return _said(spark, *map(str.split, ("BF.RESERVE b 0.01 100 EXPANSION 2", "BF.INSERT c CAPACITY 50 ERROR 0.001 ITEMS x y x", "BF.INFO c", "BF.CARD c", "BF.MADD b a b a", "BF.MEXISTS b a z")))
+
+
+@query(_answers("OK", 1, 0, [1, 1, 1], 2, {"size": 1024, "buckets": 512, "filters": 1, "inserted": 4, "deleted": 0, "bucket_size": 2, "expansion": 1, "max_iterations": 20}, 1, [1, 1, 0]))
+def commands_cuckoo(spark, sf):
+    return _said(spark, *map(str.split, ("CF.RESERVE k 1000", "CF.ADD k a", "CF.ADDNX k a", "CF.INSERT k ITEMS a b c", "CF.COUNT k a", "CF.INFO k", "CF.DEL k a", "CF.MEXISTS k a b z")))
+
+
+@query(_answers("OK", [None, None, None], {"k": 3, "width": 8, "depth": 7, "decay": 0.9}, ["a", "b"], "OK", "OK", [5.0], [1.0, 5.0], [-1, 2, 5], [0.0, 0.5, 1.0], 3.0, "OK"))
+def commands_topk_digest(spark, sf):
+    return _said(spark, *map(str.split, ("TOPK.RESERVE t 3", "TOPK.ADD t a b a", "TOPK.INFO t", "TOPK.LIST t", "TDIGEST.CREATE d COMPRESSION 100", "TDIGEST.ADD d 1 2 3 4 5", "TDIGEST.BYREVRANK d 0", "TDIGEST.BYRANK d 0 4", "TDIGEST.RANK d 0 3 9", "TDIGEST.CDF d 0 3 9", "TDIGEST.TRIMMED_MEAN d 0.2 0.8", "TDIGEST.RESET d")))
+
+
+@query(_answers("OK", [0], [0], [2], [-1], "OK", '{"$.c":[5],"$.d":[6]}', ["boolean"]))
+def commands_json(spark, sf):
+    doc = '{"a":[1,2,1],"b":true,"c":"x"}'
+    return _said(spark, ["JSON.SET", "q", "$", doc], *map(str.split, ("JSON.TOGGLE q $.b", "JSON.ARRINDEX q $.a 1", "JSON.ARRINDEX q $.a 1 1", "JSON.ARRINDEX q $.a 9", "JSON.MSET q $.c 5 q $.d 6", "JSON.GET q $.c $.d", "JSON.TYPE q $.b")))
+
+
+@query(_answers(1, 2, 2, 1, [["hello"]], {"TIMEOUT": "500"}))
+def commands_suggest_config(spark, sf):
+    return _said(spark, *map(str.split, ("FT.SUGADD g hello 1", "FT.SUGADD g help 2", "FT.SUGLEN g", "FT.SUGDEL g help", "FT.SUGGET g he", "FT.CONFIG GET TIMEOUT")))
+
+
+# digests against exact answers
+
+
+@query("select l_returnflag, true as cdf, true as rank, true as at_rank, true as trimmed from lineitem group by 1")
+def digest_answers(spark, sf):
+    """The sketch's own answers on prices, each within 2 % of ranks or of the value's spread."""
+    li, p = table(spark, sf, "lineitem"), F.col("l_extendedprice")
+    d = digest.build(li, "l_extendedprice", ["l_returnflag"], 200)
+    ask = lambda *a: digest.ask(F.col("digest"), *a)
+    got = d.select("l_returnflag", ask("cdf", 40000.0).alias("c"), ask("rank", 40000.0).alias("r"), ask("by_rank", 100).alias("v"), ask("trimmed_mean", 0.1, 0.9).alias("t"), ask("size").alias("n"))
+    real = li.groupBy("l_returnflag").agg(digest.exact_cdf(p, 40000.0).alias("rc"), digest.exact_rank(p, 40000.0).alias("rr"), F.stddev(p).alias("sd"), F.sort_array(F.collect_list(p))[100].alias("rv"))
+    both = got.join(real, "l_returnflag").join(digest.exact_trimmed_mean(li, "l_extendedprice", 0.1, 0.9, ["l_returnflag"]), "l_returnflag")
+    near = lambda a, b, most: F.abs(F.col(a) - F.col(b)) <= most
+    return both.select("l_returnflag", near("c", "rc", 0.02).alias("cdf"), near("r", "rr", 0.02 * F.col("n")).alias("rank"), near("v", "rv", 0.05 * F.col("sd")).alias("at_rank"), near("t", "value", 0.05 * F.col("sd")).alias("trimmed"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import neighbours
+from tessera.operators import graph, neighbours
 from tessera.operators.sketches import bloom, cms, cuckoo, digest, topk
 from tessera.operators.sketches.bloom import FilterError
 from tessera.operators.sketches.cms import SketchError
@@ -143,24 +143,28 @@ def test_digest_frames(spark):
     assert digest.exact_at(df, "v", 0.5, ["k"]).where("k = 0").first().value == 4497.0 and digest.exact_at(df, "v", 0.5).first().value == 4499.0
 
 
-def test_cells_recall(spark):
+def test_graph_recall(spark):
     rng = np.random.default_rng(42)
     x = rng.uniform(-1, 1, (500, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<float>")
-    q = spark.createDataFrame([(i, rng.uniform(-1, 1, 32).tolist()) for i in range(20)], "query_id long, q array<float>")
-    cells = neighbours.build_cells(df, cells=16)
-    exact = {(r.query_id, r.doc_id) for r in neighbours.nearest(df, q, 10).collect()}
-    got = {(r.query_id, r.doc_id) for r in cells.search(q, 10, probes=14).collect()}
-    assert len(exact & got) / len(exact) > 0.95
-    less = cells.remove(df.where("doc_id < 250"))
-    assert less.frame.count() == 250 and less.add(df.where("doc_id < 10")).frame.count() == 260
-    with pytest.raises(ValueError):
-        neighbours.build_cells(df.limit(0))
-
-
-def test_cells_recall_at_the_defaults(spark):
+    q = spark.createDataFrame([(i, rng.uniform(-1, 1, 32).tolist()) for i in range(60)], "query_id long, q array<float>")
+    for metric in ("L2", "COSINE", "IP"):
+        exact = {(r.query_id, r.doc_id) for r in neighbours.nearest(df, q, 10, metric).collect()}
+        for shards in (1, 3):
+            got = {(r.query_id, r.doc_id) for r in graph.build(df, metric, shards=shards).search(q, 10).collect()}
+            assert len(exact & got) / len(exact) > 0.95, (metric, shards)
+    g = graph.build(df, shards=2)
+    less = g.remove(df.where("doc_id < 250"))
+    assert less.vectors().count() == 250 and less.add(df.where("doc_id < 260")).vectors().count() == 500
+    assert less.search(q, 10).where("doc_id < 250").count() == 0
+    assert graph.build(df.limit(0)).search(q, 3).count() == 0
+
+
+def test_graph_recall_and_reach_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = df.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
-    exact, got = neighbours.nearest(df, q, 10), neighbours.build_cells(df).search(q, 10)
-    hits, n = exact.join(got, ["query_id", "doc_id"], "left_semi").count(), 10 * df.count()
-    assert hits / n >= 0.95, hits / n
+    exact, got = neighbours.nearest(df, q, 10), graph.build(df).search(q, 10).persist()
+    hits, n = exact.join(got, ["query_id", "doc_id"], "left_semi").count(), df.count()
+    assert hits / (10 * n) >= 0.95
+    assert got.where("rank = 1").agg(F.avg("compared")).first()[0] <= 0.25 * n
+    got.unpersist()
