@@ -76,7 +76,7 @@ def build(df: DataFrame, item: str, rate: float = ERROR_RATE, capacity: int | No
     if capacity is None:
         capacity = max(1, df.agg(F.approx_count_distinct(item, 0.02)).first()[0] * 11 // 10)
     bits, hashes = layout(rate, capacity)
-    at = df.where(F.col(item).isNotNull()).select(F.explode(positions(F.col(item), bits, hashes)).alias("p"))
+    at = df.where(F.col(item).isNotNull()).select(item).distinct().select(F.explode(positions(F.col(item), bits, hashes)).alias("p"))
     parts = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bitmap"))
     return Table(parts, bits, hashes)
 

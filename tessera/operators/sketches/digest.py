@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -244,11 +244,17 @@ def running(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return placed.withColumn("inside", inside).join(F.broadcast(before), "p").select("v", "n", (F.col("inside") + F.col("before")).alias("upto"), "total")
 
 
-def exact_at(df: DataFrame, value: str, share: float, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, value): sorted[floor(share * (n - 1))] of each group, no interpolation."""
+def exact_many(df: DataFrame, value: str, shares: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a column for each share): sorted[floor(share * (n - 1))] of each group, no
+    interpolation; all shares in one pass."""
     r = running(df, value, keys)
-    hit = r.where(F.col("upto") > F.floor(F.lit(share) * (F.col("total") - 1) + 1e-9))
-    return hit.groupBy(*keys).agg(F.min("v").alias("value"))
+    at = [F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1) + 1e-9), F.col("v"))).alias(name) for name, p in shares.items()]
+    return r.groupBy(*keys).agg(*at)
+
+
+def exact_at(df: DataFrame, value: str, share: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, value): the same for one share."""
+    return exact_many(df, value, {"value": share}, keys)
 
 
 def exact_trimmed_mean(df: DataFrame, value: str, lo: float, hi: float, keys: Sequence[str] = ()) -> DataFrame:

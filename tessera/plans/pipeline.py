@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.reducers import Reducer, aggregate, number, parse_reducer, quantile_share
-from tessera.operators.sketches.digest import exact_at
+from tessera.operators.sketches.digest import exact_many
 from tessera.plans.expr import compile_expr, parse_expr, truth
 from tessera.plans.query import parse_query, simplify
 from tessera.plans.search import Compiler, Options
@@ -133,12 +133,13 @@ def group(df: DataFrame, s: Stage) -> DataFrame:
     df = df.withColumns({k: keys.get(n, F.lit("")) for n, k in own.items()})
     plain = [aggregate(r, df.schema) for r in s.reducers if r.name != "QUANTILE"]
     out = df.groupBy(*own.values()).agg(*plain) if plain else df.select(*own.values()).distinct()
+    asked: dict[str, dict[str, float]] = {}
     for r in s.reducers:
         if r.name == "QUANTILE":
-            field, share = r.args[0].removeprefix("@"), quantile_share(r)
-            found = exact_at(df.withColumn("__v", number(df.schema, field)), "__v", share, list(own.values()))
-            found = found.withColumnRenamed("value", r.alias)
-            out = out.join(found, list(own.values()), "left").withColumn(r.alias, F.coalesce(r.alias, F.lit(0.0)))
+            asked.setdefault(r.args[0].removeprefix("@"), {})[r.alias] = quantile_share(r)
+    for field, shares in asked.items():  # one pass a field
+        found = exact_many(df.withColumn("__v", number(df.schema, field)), "__v", shares, list(own.values()))
+        out = out.join(found, list(own.values()), "left").withColumns({a: F.coalesce(F.col(f"`{a}`"), F.lit(0.0)) for a in shares})
     return out.select(*[F.col(own[n]).alias(n) for n in keys], *[F.col(f"`{r.alias}`") for r in s.reducers])
 
 
