@@ -9,9 +9,11 @@ of the document, so that no task writes or reads it alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ LISTS = "size int, term string, tf int, positions array<int>, bucket int"
 TERMS = "term string, df bigint, total bigint"
 #: Documents for each part of a bucket, about.
 PART_DOCS = 2_000_000
+ROWS_AT_ONCE = 500
 
 
 @dataclass
@@ -72,22 +75,48 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def own_lists(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, term, tf, positions) of docs (doc_id, x), document by document: a text's
+    words are grouped where it is read, so only its list entries are shuffled."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(at, ROWS_AT_ONCE)
+                of, sizes, terms, places = [], [], [], []
+                for i, x in enumerate(b.column(1).to_pylist()):
+                    words = text.words(x)
+                    own: dict[str, list[int]] = {}
+                    for k, w in enumerate(words):
+                        own.setdefault(w, []).append(k)
+                    of += [i] * len(own)
+                    sizes += [len(words)] * len(own)
+                    terms += own.keys()
+                    places += own.values()
+                tf = [len(p) for p in places]
+                ends = np.concatenate([[0], np.cumsum(np.array(tf, np.int64))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array([k for p in places for k in p], pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(sizes, pa.int32()), pa.array(terms, pa.string()), pa.array(tf, pa.int32()), lists], names=["doc_id", "size", "term", "tf", "positions"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, size int, term string, tf int, positions array<int>")
+
+
 def write_lists(docs: DataFrame, names: Sequence[str], path: str, buckets: int = BUCKETS) -> TextLists:
     """Tokenises the text fields of docs (doc_id, ..) and writes their lists under path.
 
-    Documents are hashed by id first: one task may not read all, and no later step then moves
-    a word before it is counted."""
+    Where there are fewer partitions than tasks can run, documents are hashed by id first."""
     spark, sizes = docs.sparkSession, {}
     made = TextLists(spark, path, sizes, docs.schema["doc_id"].dataType.simpleString(), buckets)
+    tasks = spark.sparkContext.defaultParallelism
     for name in names:
         c = F.col(f"`{name}`")
-        have = docs.where(c.isNotNull())
+        have = docs.where(c.isNotNull()).select("doc_id", c.alias("x"))
         sizes[name] = have.count()
-        own = have.select("doc_id", text.runs(c).alias("t")).repartition("doc_id") if have.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else have.select("doc_id", c.alias("x")).repartition(spark.sparkContext.defaultParallelism, "doc_id").select("doc_id", text.runs(F.col("x")).alias("t"))
-        at = own.select("doc_id", F.size("t").alias("size"), F.posexplode("t").alias("pos", "word")).withColumn("term", F.lower("word"))
-        rows = at.groupBy("doc_id", "size", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        if have.rdd.getNumPartitions() < tasks:
+            have = have.repartition(tasks, "doc_id")
         parts = max(1, sizes[name] // PART_DOCS)
-        spread = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+        spread = own_lists(have).withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets * parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
         spread.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/{name}/lists")
         counts = made.all(name).groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
         counts.select("term", "df", "total").sortWithinPartitions("term").write.parquet(f"{path}/{name}/terms")
