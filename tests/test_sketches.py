@@ -69,6 +69,14 @@ def test_cuckoo_chain():
         cuckoo.Chain.load(c.dump()[:-1])
 
 
+def test_cuckoo_remove_leaves_the_others():
+    c = cuckoo.Chain(cuckoo.Params(1024, 4, 50, 2))
+    items = [str(i) for i in range(15_000)]
+    assert all(c.add(x) for x in items) and len(c.layers) > 2
+    assert all(c.remove(x) for x in items[::2])
+    assert all(x in c for x in items[1::2]) and c.info()["deleted"] == 7_500
+
+
 def test_cuckoo_involution():
     for i in range(2000):
         raw = f"x{i}".encode()
