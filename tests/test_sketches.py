@@ -168,6 +168,35 @@ def test_graph_recall(spark):
     assert graph.build(df.limit(0)).search(q, 3).count() == 0
 
 
+def test_nearest_blocks_against_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PIECE", 50)
+    rng = np.random.default_rng(7)
+    x = rng.integers(-2, 3, (300, 3)).astype(np.float32)  # many equal distances, some zero vectors
+    for kind, as_id in (("long", int), ("string", str)):
+        df = spark.createDataFrame([(as_id(i), v.tolist()) for i, v in enumerate(x)] + [(as_id(999), None)], f"doc_id {kind}, embedding array<float>")
+        q = df.where("embedding is not null").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+        for metric in ("L2", "IP"):
+            want, got = neighbours.nearest(df, q, 7, metric), neighbours.nearest_blocks(df, q, 7, metric)
+            assert got.schema.simpleString() == want.schema.simpleString()
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert neighbours.nearest_blocks(df.limit(0), q, 3).count() == 0
+
+
+def test_graph_search_sends_a_shard_once_a_block(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("embedding"))
+    q = df.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = graph.build(df, shards=2).search(q, 5)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert found.count() == 1500 and found.where("rank = 1 and query_id <> doc_id").count() == 0
+
+
+def test_graph_recall_across_shards(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = df.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = graph.build(df, shards=3).search(q, 10)
+    assert neighbours.nearest_blocks(df, q, 10).join(found, ["query_id", "doc_id"], "left_semi").count() >= 9.5 * df.count()
+
+
 def test_graph_recall_and_reach_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = df.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
