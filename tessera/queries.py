@@ -515,13 +515,18 @@ def ann_graph_remove(spark, sf):
 
 
 def order_json(spark: SparkSession, sf: str) -> DataFrame:
-    """(key, json): each order with its lines as an array; 200 orders."""
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 200").groupBy("l_orderkey")
+    """(key, json): each order with its lines as an array."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey")
     items = li.agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("qty")))).alias("items"))
     doc = F.to_json(F.struct(F.col("l_orderkey").alias("id"), F.struct(F.size("items").alias("n"), F.lit("x").alias("tag")).alias("head"), "items"))
     return items.select(F.col("l_orderkey").alias("key"), doc.alias("json"))
 
 
+def first_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders that the SQL of most queries names."""
+    return order_json(spark, sf).where("key <= 200")
+
+
 LI = "with l as (select l_orderkey as key, list({'line': l_linenumber, 'part': l_partkey, 'qty': l_quantity::int} order by l_linenumber, l_partkey, l_quantity::int) as items from lineitem where l_orderkey <= 200 group by 1) "
 
 
@@ -541,46 +546,46 @@ def json_keys_len(spark, sf):
 
 @query(LI + "select key, items[1].part::varchar as first, items[-1].part::varchar as last from l")
 def json_index(spark, sf):
-    d = order_json(spark, sf)
+    d = first_orders(spark, sf)
     return d.select("key", json_path.json_get(F.col("json"), "$.items[0].part").alias("first"), json_path.json_get(F.col("json"), "$.items[-1].part").alias("last"))
 
 
 @query(LI + "select key, array_to_string(list_transform(items[2:3], lambda x: x.qty), ',') as mid, array_to_string(list_transform(list_reverse(items), lambda x: x.line), ',') as back from l")
 def json_slice(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     return d.select("key", F.array_join(json_path.json_query(c, "$.items[1:3].qty"), ",").alias("mid"), F.array_join(json_path.json_query(c, "$.items[::-1].line"), ",").alias("back"))
 
 
 @query(LI + "select key, array_to_string(list_transform(list_filter(items, lambda x: x.qty > 30), lambda x: x.part), ',') as big from l")
 def json_filter(spark, sf):
-    d = order_json(spark, sf)
+    d = first_orders(spark, sf)
     return d.select("key", F.array_join(json_path.json_query(F.col("json"), "$.items[?(@.qty > 30)].part"), ",").alias("big"))
 
 
 @query(LI + "select key, array_to_string(list_transform(items, lambda x: x.qty), ',') as deep, array_to_string(list_transform(items, lambda x: x.part), ',') as wild, items[1].line || ',' || items[1].qty as pair from l")
 def json_recursive_wildcard_union(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     get = lambda p: F.array_join(json_path.json_query(c, p), ",")
     return d.select("key", get("$..qty").alias("deep"), get("$.items[*].part").alias("wild"), get("$.items[0]['line','qty']").alias("pair"))
 
 
 @query(LI + "select key, 'object' as a, 'array' as b, 'integer' as c, 'string' as d from l")
 def json_type(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     get = lambda p: F.element_at(json_ops.type_column(c, p), 1)
     return d.select("key", get("$").alias("a"), get("$.items").alias("b"), get("$.id").alias("c"), get("$.head.tag").alias("d"))
 
 
 @query(LI + "select key, len(items)::int as arr, 3 as obj, 1 as str from l")
 def json_lengths(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     get = lambda p, k: F.element_at(json_ops.length_column(c, p, k), 1)
     return d.select("key", get("$.items", list).alias("arr"), get("$", dict).alias("obj"), get("$.head.tag", str).alias("str"))
 
 
 @query(LI + "select key, (key + 5)::varchar as plus, (key * 2)::varchar as times, 'xy' as app, (len(items) + 1)::varchar as grown from l")
 def json_edit_numbers_strings_arrays(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     one = lambda f, *a: json_ops.edit_column(c, f, *a)["json"]
     get = F.get_json_object
     return d.select(
@@ -591,7 +596,7 @@ def json_edit_numbers_strings_arrays(spark, sf):
 
 @query(LI + "select key, json_array_length(to_json(items))::varchar || ',7' as ins, (items[-1].line)::varchar as popped, least(len(items), 2)::varchar as trimmed, '0' as cleared, null::varchar as gone from l")
 def json_edit_places(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     edit = lambda f, *a: json_ops.edit_column(c, f, *a)
     get = F.get_json_object
     ins = edit(json_ops.array_insert, "$.items", 0, 7)["json"]
@@ -604,7 +609,7 @@ def json_edit_places(spark, sf):
 
 @query(LI + "select key, 'z' as tag, null::varchar as n, '1' as more, 'new' as fresh from l")
 def json_merge_set(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     patch = {"head": {"tag": "z", "n": None, "more": 1}}
     merged = json_ops.edit_column(c, json_ops.merge, "$", patch)["json"]
     put = json_ops.edit_column(c, json_ops.set_value, "$.head.fresh", "new")["json"]
@@ -620,7 +625,7 @@ def json_multi_get(spark, sf):
 
 @query(LI + "select key, array_to_string(list_transform(items, lambda x: '[' || x.line), ',') as n, octet_length(encode(key::varchar)) > 0 as sized from l")
 def json_flat_and_memory(spark, sf):
-    d, c = order_json(spark, sf), F.col("json")
+    d, c = first_orders(spark, sf), F.col("json")
     flat = json_ops.flat_column(c, "$.items[*].line")
     return d.select("key", F.array_join(F.transform(flat, lambda x: F.concat(F.lit("["), x)), ",").alias("n"), (json_ops.memory_column(c) > 0).alias("sized"))
 
@@ -921,7 +926,7 @@ def source_hash(spark, sf):
 @query(LI + "select key as doc_id from l where len(list_filter(items, lambda x: x.qty = 10)) > 0 and len(items) >= 2")
 def source_json(spark, sf):
     spec = Spec.parse("i ON JSON SCHEMA $.items[*].qty AS qty TAG $.head.n AS n NUMERIC".split())
-    i = Catalog(spark).create(spec, json_source(order_json(spark, sf), spec))
+    i = Catalog(spark).create(spec, json_source(first_orders(spark, sf), spec))
     return search(i, "@qty:{10} @n:[2 inf]", nocontent=True)
 
 
