@@ -23,7 +23,7 @@ from tessera.plans.pipeline import Cursors, run_aggregate
 from tessera.plans.profile import explain_lines, profile
 from tessera.plans.search import knn, postings, search, vocabulary
 from tessera.sources import store
-from tessera.sources.folders import changed, new_folder
+from tessera.sources.folders import changed, new_folder, shared_folder
 from tessera.sources.tables import documents, hash_source, json_source, scan_keys, table
 from tessera.spec import Catalog, Index, Spec
 from tessera.streaming.feed import TableFeed, follow
@@ -714,6 +714,8 @@ def bloom_merge(spark, sf):
 def bloom_scaling(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), "event_id")
     f = bloom.fold(e, "event_type", "user_id", "event_id", bloom.Params(0.001, 8, 2))
+    shared_folder(spark)
+    f = f.checkpoint()  # asked three times
     seen = bloom.fold_probe(f, e.select("event_type", "user_id").distinct(), "event_type", "user_id")
     ok = seen.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_users"), F.min("seen").alias("all_found"))
     most = f.agg(F.max("filters").alias("most"))  # one filter at least has to have grown

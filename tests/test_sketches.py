@@ -53,6 +53,34 @@ def test_bloom_frames(spark):
         bloom.merge(t, bloom.build(df, "x", 0.001))
 
 
+def test_bloom_items_by_their_hashes_in_turn():
+    for params, n in ((bloom.Params(0.05, 8, 2), 3000), (bloom.Params(0.2, 16, 1), 400), (bloom.Params(0.1, 50, 0), 300)):
+        items = [str(random.Random(3).randrange(n)) for _ in range(7)] + [str(i % (n * 2 // 3)) for i in range(n)]
+        one, many = bloom.Chain(params), bloom.Chain(params)
+        told = one.add_many(items)
+        for at in range(0, n + 7, 97):
+            if not many.add_hashed(*bloom.hashes_of(items[at : at + 97])):
+                assert len(told) < len(items)
+                break
+        assert many.dump() == one.dump()
+        asked = [str(i) for i in range(2 * n)]
+        assert many.has_hashed(*bloom.hashes_of(asked)).tolist() == [x in one for x in asked]
+
+
+def test_bloom_fold_is_read_as_a_stream(spark):
+    rows = [(k, f"{k}-{i % 50}", 1000 - i) for i in range(500) for k in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "k string, x string, o long")
+    f = bloom.fold(df, "k", "x", "o", bloom.Params(0.01, 8, 2))
+    assert "FlatMapGroups" not in f._jdf.queryExecution().toString()
+    got = {r.key: bytes(r.filter) for r in f.collect()}
+    for k in ("a", "b", None):
+        c = bloom.Chain(bloom.Params(0.01, 8, 2))
+        c.add_many(x for own, x, _ in sorted((r for r in rows if r[0] == k), key=lambda r: r[2]))
+        assert got[k] == c.dump()
+    asked = spark.createDataFrame([("a", "a-1"), ("b", "a-1"), ("z", "a-1"), (None, "None-3")], "k string, x string")
+    assert {(r.key, r.item): r.seen for r in bloom.fold_probe(f, asked, "k", "x").collect()} == {("a", "a-1"): True, ("b", "a-1"): False, ("z", "a-1"): False, (None, "None-3"): True}
+
+
 def test_cuckoo_chain():
     c = cuckoo.Chain(cuckoo.Params(64, 4, 20, 2))
     items = [f"i{i}" for i in range(500)]
