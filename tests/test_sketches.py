@@ -233,3 +233,16 @@ def test_graph_recall_and_reach_on_the_table(spark):
     assert hits / (10 * n) >= 0.95
     assert got.where("rank = 1").agg(F.avg("compared")).first()[0] <= 0.25 * n
     got.unpersist()
+
+
+def test_heavy_keeper_is_fed_from_a_stream(spark):
+    rng = random.Random(5)
+    rows = [(k, f"i{min(rng.randrange(60), rng.randrange(60))}", o) for k in ("a", None) for o in range(3000)]
+    rng.shuffle(rows)
+    best = topk.keep_heavy(spark.createDataFrame([*rows, ("a", None, 7)], "k string, x string, o long"), "k", "x", "o", 4, 16, 3)
+    assert "MapGroups" not in best._jdf.queryExecution().toString()
+    got = [tuple(r) for r in best.collect()]
+    for k in ("a", None):
+        s = topk.HeavyKeeper(4, 16, 3)
+        topk.add_all(s, [x for own, x, _ in sorted((r for r in rows if r[0] == k), key=lambda r: r[2])])
+        assert sorted(r[1:] for r in got if r[0] == k) == sorted((x, n, i + 1) for i, (x, n) in enumerate(s.list()))
