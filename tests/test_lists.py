@@ -99,3 +99,17 @@ def test_numbers_that_are_none(spark):
     assert s("@v:[-inf inf]") == [4] and s("@v:[0 inf]") == [4] and s("@v:[-inf 5]") == [4] and s("-@v:[0 5]") == [1, 2, 3, 5] and s("@v:[inf inf]") == []
     got = run_aggregate(i, "*", "GROUPBY 0 REDUCE SUM 1 @v AS s REDUCE MAX 1 @v AS m".split()).first()
     assert (got.s, got.m) == (1.0, 1.0) and F is not None
+
+
+def test_parts_grow_with_the_text(spark, tmp_path, monkeypatch):
+    from tessera.plans import lists
+
+    df = spark.createDataFrame([(i, f"common w{i % 40} of a b c d") for i in range(400)], "doc_id long, t string")
+    small = lists.write_lists(df, ["t"], f"{tmp_path}/small", 4)
+    monkeypatch.setattr(lists, "PART_CHARS", 2000)
+    large = lists.write_lists(df, ["t"], f"{tmp_path}/large", 4)
+    most = lambda made: made.all("t").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    files = lambda made: made.all("t").select("bucket", F.input_file_name().alias("f")).distinct()
+    assert files(small).count() == 4 and files(large).count() == 20  # a task for each part of each bucket
+    assert most(large) < most(small) / 3
+    assert rows(small.all("t")) == rows(large.all("t")) and rows(small.terms("t")) == rows(large.terms("t"))
